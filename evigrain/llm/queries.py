@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module of each query
 _QUERIES = {
+    "p2_found": "neardup",
     "p3_found": "split",
     "p3_pieces": "split",
     "p6_ids": "encode",
