@@ -10,6 +10,8 @@ _QUERIES = {
     "p3_found": "split",
     "p3_pieces": "split",
     "p6_ids": "encode",
+    "p7_found": "leak",
+    "p7_spans": "leak",
     "p8_found": "garbled",
     "p8_repaired": "garbled",
 }
