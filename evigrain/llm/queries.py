@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: module of each query
 _QUERIES = {
+    "p1_budget": "budget",
+    "p1_estimates": "budget",
     "p2_found": "neardup",
     "p3_found": "split",
     "p3_pieces": "split",
