@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigrain.operators.components import components
 from evigrain.session import materialise
 from evigrain.sources.tables import norm_ref, table
 
@@ -324,3 +325,49 @@ def similar_records(genes: DataFrame) -> DataFrame:
 
 def p2_found(spark, folder: str) -> DataFrame:
     return similar_records(table(spark, folder, "genes"))
+
+
+def similar_groups(genes: DataFrame) -> DataFrame:
+    """(gene_id, class_id, group_id, links): one row per gene id of ``genes``.
+
+    ``class_id`` is the smallest gene id with the same words, null where there are none; ``group_id`` the smallest of
+    the group that the pairs of ``similar_records`` form, null for a gene without pairs; ``links`` the number of its
+    pairs. Record pairs aren't built: records of one class and subject have the same partners, and a class of several
+    subjects hangs together, so the groups are the components of the classes.
+    """
+    s = materialise(signed(genes), "neardup-signed")
+    pairs = materialise(similar_classes(s).select("a", "a2", "b", "b2"), "neardup-pairs")
+    members = s.select("c1", "c2", "id", "locus_id").distinct()
+    nodes = materialise(members.where("locus_id is not null").groupBy("c1", "c2", "locus_id").agg(F.count("*").alias("n"), F.min("id").alias("rep")), "neardup-nodes")
+    classes = nodes.groupBy("c1", "c2").agg(F.sum("n").alias("total"), F.min("rep").alias("rep"), F.min("locus_id").alias("low"), F.max("locus_id").alias("high"))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.withColumnsRenamed({"c1": x, "c2": f"{x}2"} | {c: f"{c}_{x}" for c in df.columns if c not in ("c1", "c2")})
+
+    # two classes of one and the same subject aren't linked
+    joined = pairs.join(side(classes, "a"), ["a", "a2"]).join(side(classes, "b"), ["b", "b2"])
+    linked = joined.where("low_a != high_a or low_b != high_b or low_a != low_b").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
+    roots = components(linked).withColumnsRenamed({"node": "rep", "root": "group_id"})
+    grouped = classes.join(roots, "rep", "left").select("c1", "c2", "total", F.coalesce("group_id", F.when(F.col("low") != F.col("high"), F.col("rep"))).alias("group_id"))
+
+    # partners of a (class, subject): all records of the similar classes and its own, less those of its subject
+    twoway = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
+    near = twoway.join(side(classes.select("c1", "c2", "total"), "b"), ["b", "b2"]).groupBy(F.col("a").alias("c1"), F.col("a2").alias("c2")).agg(F.sum("total_b").alias("near"))
+    own = nodes.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), "locus_id")
+    other = nodes.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), "locus_id", "n")
+    barred = twoway.join(own, ["a", "a2"]).join(other, ["b", "b2", "locus_id"]).groupBy(F.col("a").alias("c1"), F.col("a2").alias("c2"), "locus_id").agg(F.sum("n").alias("barred"))
+    zero = F.lit(0).cast("bigint")
+    links = (
+        nodes.join(grouped, ["c1", "c2"])
+        .join(near, ["c1", "c2"], "left")
+        .join(barred, ["c1", "c2", "locus_id"], "left")
+        .select("c1", "c2", "locus_id", "group_id", (F.col("total") - F.col("n") + F.coalesce("near", zero) - F.coalesce("barred", zero)).alias("links"))
+    )
+    named = members.groupBy("c1", "c2").agg(F.min("id").alias("class_id"))
+    out = members.join(named, ["c1", "c2"]).join(links, ["c1", "c2", "locus_id"], "left").select(F.col("id").alias("gene_id"), "class_id", "group_id", "links")
+    ids = genes.where("id is not null").select(F.col("id").alias("gene_id")).distinct()
+    return ids.join(out, "gene_id", "left").select("gene_id", "class_id", "group_id", F.coalesce("links", zero).alias("links"))
+
+
+def p2_groups(spark, folder: str) -> DataFrame:
+    return similar_groups(table(spark, folder, "genes"))

@@ -9,6 +9,7 @@ _QUERIES = {
     "p1_budget": "budget",
     "p1_estimates": "budget",
     "p2_found": "neardup",
+    "p2_groups": "neardup",
     "p3_found": "split",
     "p3_pieces": "split",
     "p6_ids": "encode",
