@@ -79,7 +79,13 @@ def _kind(c: str) -> str:
         or 0x300 <= o <= 0x36F or 0x391 <= o <= 0x3C9 or o in (0xFEFF, 0xFE0F) or 0x1F000 <= o <= 0x1FAFF
     ):
         return "sign"
-    return "other"
+    return "inner" if c in _page_characters() else "other"
+
+
+@lru_cache(maxsize=None)
+def _page_characters() -> frozenset[str]:
+    """What the candidate code pages have from 0x80: a nested layer may leave any of it."""
+    return frozenset(c for name in READ_AS for c in _tables(name)[0])
 
 
 def _evidence(seq: str, plain: str, name: str, before: str, after: str) -> float:
@@ -87,10 +93,9 @@ def _evidence(seq: str, plain: str, name: str, before: str, after: str) -> float
 
     A letter or a sign that comes out of two or more odd ones is a gain. What correct text may hold by chance gains
     nothing: a lone Cyrillic pair (a word's end before a quote), a capital before closing punctuation, box drawing.
+    A character that neither text nor a code page has lowers the gain, by its own share only.
     """
     kinds = ["c1" if "\x80" <= c < "\xa0" else _kind(c) for c in plain]
-    if "other" in kinds:
-        return -1.0
     if all("А" <= c <= "я" or c in "ёЁ" for c in seq):
         return -1.0  # plain Russian letters stand for themselves
     gain = 0.0
@@ -101,11 +106,14 @@ def _evidence(seq: str, plain: str, name: str, before: str, after: str) -> float
         left = seq[i - 1] if i else before
         right = seq[i + n] if i + n < len(seq) else after
         i += n
+        if k == "other":
+            gain -= 0.5
+            continue
         if n >= 3:
             gain += 2.0 if k in ("east", "sign", "latin") else 1.0
             continue
         lead, tail = part[0], part[1]
-        if k == "c1":
+        if k in ("c1", "inner"):
             gain += 0.3  # half of a nested layer
         elif k == "latin2":
             # a capital of another code page: only a nested layer makes it
@@ -128,13 +136,19 @@ def _evidence(seq: str, plain: str, name: str, before: str, after: str) -> float
 
 @lru_cache(maxsize=100_000)
 def _reading(seq: str, name: str, before: str, after: str) -> tuple[float, str]:
-    """Gain and text of a sequence read as UTF-8 under an encoding; no gain where it isn't well-formed."""
+    """Gain and text of a sequence read as UTF-8 under an encoding; no gain where it isn't well-formed.
+
+    What comes out may be garbled itself: the gain is that of all its layers.
+    """
     back, _ = _tables(name)
     try:
         plain = bytes(back[c] for c in seq).decode("utf-8")
     except UnicodeDecodeError:
         return -1.0, seq
-    return _evidence(seq, plain, name, before, after), plain
+    gain = _evidence(seq, plain, name, before, after)
+    if len(plain) > 1 and gain > 0:
+        gain += max((g for _, g, _ in _run_hits(plain, before, after)), default=0.0)
+    return gain, plain
 
 
 @lru_cache(maxsize=200_000)
@@ -328,7 +342,7 @@ def _anomalies(w: str) -> int:
             n += 1
         elif c.isupper() and k in ("latin", "latin2"):
             n += left.islower() or (left.isupper() and right.islower() and len(w) > 2 and any(x.islower() for x in w[:i]))
-        elif k in ("cyrillic", "other", "latin2") or (c.isalpha() and k == "sign" and c not in "ªºµ"):
+        elif k in ("cyrillic", "inner", "other", "latin2") or (c.isalpha() and k == "sign" and c not in "ªºµ"):
             n += ascii_letters
         elif not c.isalpha() and c not in _JOINS:
             n += left.isalpha() and right.isalpha() and left.isascii() | (left in _USUAL) and right.isascii() | (right in _USUAL)

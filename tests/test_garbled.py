@@ -1,0 +1,31 @@
+import pytest
+
+from evigrain.llm import garbled
+
+
+def garble(text: str, *pages: str) -> str:
+    for p in pages:
+        to = garbled._tables(p)[1]
+        text = "".join(to[b] if b > 127 else chr(b) for b in text.encode())
+    return text
+
+
+PAGES = [("cp1251+", "cp1251+"), ("cp1252+", "cp1251+"), ("cp1251+", "cp1252+"), ("cp1252+", "cp1252+"), ("cp1251+",) * 3, ("cp1252+",) * 3]
+
+
+@pytest.mark.parametrize("pages", PAGES, ids="-".join)
+@pytest.mark.parametrize("word", ["изменение", "журнал", "データベース", "障害対応", "configuração"])
+def test_repeated_damage_is_found_and_restored(word, pages):
+    text = f"Step 3: {word} (checked)."
+    case, restored, layers, whole = garbled.repair(text.replace(word, garble(word, *pages)))
+    assert (case, restored, whole, len(layers)) == (True, text, True, len(pages))
+
+
+def test_an_odd_character_does_not_hide_its_neighbours():
+    case, restored, _, _ = garbled.repair("Note " + garble("Кыргыз ҙ түзөтүү", "cp1252+"))
+    assert case and "Кыргыз" in restored
+
+
+@pytest.mark.parametrize("text", ["Дії: Ві, Ні, Ді", "ͷΑΒΓ Αθήνα «λόγος»", "Ђ Ѓ Ќ Џ", "ÇA À NOËL", "ˆ ˜ ˇ ˘ ˙ ˚", "Đường phố Hà Nội", "שלום", "한국어", "ўсё"])
+def test_rare_characters_are_no_case(text):
+    assert not garbled.repair(text)[0]
