@@ -102,14 +102,21 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         s = a
         if a and overlap:
             low = max(0, a - overlap)
-            s = next((low + m.end() for m in _PATTERNS[4].finditer(text[low:a])), None)
-            s = low if s is None else s
-            s = _safe_start(text, s, a)
+            s = _safe_start(text, _overlap_start(text, low, a), a)
         out.append((s, e))
         a = e
     return out
 
 
+def _overlap_start(text: str, low: int, a: int) -> int:
+    """The first place behind white space, else behind punctuation, else ``low``; the cut at ``a`` itself is none."""
+    for p in (_PATTERNS[4], _PATTERNS[2], _PATTERNS[3]):
+        for m in p.finditer(text, low, a):
+            if m.end() < a:
+                return m.end()
+    return low
+
+
 def _safe_start(text: str, s: int, a: int) -> int:
     while s < a and (_GLUE.match(text, s) or text[s - 1] == "‍" or (text[s - 1] == "\r" and text[s] == "\n")):
         s += 1

@@ -1,0 +1,17 @@
+import pytest
+
+from evigrain.llm.split import LIMIT, OVERLAP, pieces
+
+
+@pytest.mark.parametrize(
+    "text, overlap",
+    [
+        (("word " * 200 + "z" * 120 + "\n") * 6, OVERLAP),  # the only white space is the cut itself
+        (("あ" * 50 + "。" + "い" * 60 + "\n") * 30, 61),  # then punctuation
+        ("a" * 4000, OVERLAP),
+    ],
+)
+def test_every_piece_overlaps_its_predecessor(text, overlap):
+    p = pieces(text)
+    assert len(p) > 1 and {b - c for (_, b), (c, _) in zip(p, p[1:])} == {overlap}
+    assert all(e - s <= LIMIT for s, e in p) and p[0][0] == 0 and p[-1][1] == len(text)
