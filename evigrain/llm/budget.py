@@ -65,22 +65,30 @@ class Trie:
         check[0] = 0
         free = np.ones(size, bool)
         free[0] = False
-        firsts = 1  # no slot below is free
+        start = 2  # few slots below are free; no child can stand at 1
         order = [0]
         for s in order:
             kids = children[s]
             if kids:
                 cs = np.array(sorted(kids))
-                while not free[firsts]:
-                    firsts += 1
-                b = max(1, firsts - int(cs[0]))
-                while not free[b + cs].all():
-                    b += 1
-                    if b + a >= size:
-                        grow = size
-                        base, check = np.append(base, np.zeros(grow, np.int32)), np.append(check, np.full(grow, -1, np.int32))
-                        score, free = np.append(score, np.full(grow, -np.inf)), np.append(free, np.ones(grow, bool))
-                        size += grow
+                low, b = max(start, int(cs[0]) + 1), 0
+                while not b:
+                    if low + 1024 + a >= size:
+                        base, check = np.append(base, np.zeros(size, np.int32)), np.append(check, np.full(size, -1, np.int32))
+                        score, free = np.append(score, np.full(size, -np.inf)), np.append(free, np.ones(size, bool))
+                        size *= 2
+                    # bases that put the first child on a free slot, narrowed down child by child
+                    bs = low + np.flatnonzero(free[low : low + 1024]) - int(cs[0])
+                    for c in cs[1:]:
+                        bs = bs[free[bs + c]]
+                        if not len(bs):
+                            break
+                    if len(bs):
+                        b = int(bs[0])
+                    elif free[low : low + 1024].mean() < 0.05 and low == start:
+                        low = start = low + 1024
+                    else:
+                        low += 1024
                 base[at[s]] = b
                 for c in kids:
                     t = b + c
