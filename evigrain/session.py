@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,19 +41,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not folder:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="evigrain-ckpt-")
+            folder = _local_folder()
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one in local tests only."""
+    """The folder all executors share, as the cluster names it; one temporary folder per program in local tests only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return "file://" + tempfile.mkdtemp(prefix="evigrain-shared-")
+    return "file://" + _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="evigrain-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +70,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of materialised frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_materialised", None):
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
