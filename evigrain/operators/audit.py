@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import fixed
+from evigrain.functions.numbers import r10
 
 SEPARATOR = "\x1f"
 
@@ -32,7 +33,7 @@ def marks(events: DataFrame, upto: int | None = None) -> DataFrame:
     m = e.groupBy("unit_id").agg(F.count_if(is_("feedback.accepted")).alias("successes"), F.count_if(is_("feedback.rejected")).alias("failures"), F.max(flag).alias("f"))
     utility = (F.col("successes") + 1) / (F.col("successes") + F.col("failures") + 2)
     boost = F.greatest(F.lit(-fixed.BOOST_LIMIT), F.least(F.lit(fixed.BOOST_LIMIT), (utility - 0.5) * fixed.BOOST_SCALE))
-    return m.select("unit_id", "successes", "failures", F.round(boost, 10).alias("boost"), F.coalesce("f.on", F.lit(False)).alias("suppressed"))
+    return m.select("unit_id", "successes", "failures", r10(boost).alias("boost"), F.coalesce("f.on", F.lit(False)).alias("suppressed"))
 
 
 def marks_as_of(events: DataFrame, event_id: str) -> DataFrame:

@@ -7,10 +7,12 @@ skew handling of the join, and its contributions are summed before they are shuf
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.functions import fixed
+from evigrain.functions.numbers import exact_sum, r10
+from evigrain.session import materialise
 
 _ROW = ["run_id", "unit_id"]
 
@@ -22,15 +24,23 @@ def both_ways(relations: DataFrame) -> DataFrame:
     return r.select("relation", "confidence", ends.alias("e")).select(F.col("e.a").alias("anchor"), F.col("e.b").alias("neighbour"), "relation", "confidence")
 
 
+def facet_bits(facets) -> Column:
+    """Facet numbers as a bit set, which aggregates without building arrays."""
+    return F.aggregate(facets, F.lit(0), lambda acc, f: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1), f - 1)))
+
+
+def facet_list(bits) -> Column:
+    """The facet numbers of a bit set, ascending."""
+    return F.filter(F.sequence(F.lit(1), F.lit(fixed.MAX_FACETS)), lambda f: F.call_function("shiftright", bits, f - 1).bitwiseAND(F.lit(1)) == 1)
+
+
 def contributions(frontier: DataFrame, edges: DataFrame, hop: int) -> DataFrame:
     """(run_id, unit_id, gain, facets, channels): what the neighbours of a frontier receive from it in one hop."""
-    near = frontier.select("run_id", F.col("unit_id").alias("anchor"), "score", "facets").join(edges, "anchor")
+    near = frontier.select("run_id", F.col("unit_id").alias("anchor"), "score", facet_bits("facets").alias("bits")).join(edges, "anchor")
     gain = F.col("score") * F.col("confidence") * (fixed.HOP_DECAY**hop)
-    return near.groupBy("run_id", F.col("neighbour").alias("unit_id")).agg(
-        F.sum(gain).alias("gain"),
-        F.array_distinct(F.flatten(F.collect_set("facets"))).alias("facets"),
-        F.sort_array(F.collect_set(F.format_string(f"graph:%s:h{hop}", "relation"))).alias("channels"),
-    )
+    sums = near.groupBy("run_id", F.col("neighbour").alias("unit_id")).agg(exact_sum(gain).alias("gain"), F.bit_or("bits").alias("bits"), F.sort_array(F.collect_set("relation")).alias("names"))
+    label = F.transform("names", lambda n: F.concat(F.lit("graph:"), n, F.lit(f":h{hop}")))
+    return sums.select("run_id", "unit_id", "gain", facet_list(F.col("bits")).alias("facets"), label.alias("channels"))
 
 
 def absorb(seen: DataFrame, got: DataFrame, active: DataFrame, hop: int) -> DataFrame:
@@ -42,7 +52,7 @@ def absorb(seen: DataFrame, got: DataFrame, active: DataFrame, hop: int) -> Data
     none = lambda t: F.array().cast(f"array<{t}>")
     return seen.join(g, _ROW, "full_outer").select(
         *_ROW,
-        F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)), 10).alias("score"),
+        r10(F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"),
         F.sort_array(F.array_union(F.coalesce("facets", none("int")), F.coalesce("f", none("int")))).alias("facets"),
         F.concat(F.coalesce("channels", none("string")), F.coalesce("c", none("string"))).alias("channels"),
         F.coalesce("protected", F.lit(False)).alias("protected"),
@@ -58,7 +68,8 @@ def expand(candidates: DataFrame, relations: DataFrame, units: DataFrame, hops:
     edges, active = both_ways(relations), units.where("active").select("unit_id")
     seen = candidates.withColumn("depth", F.lit(0))
     for hop in range(1, min(hops, fixed.MAX_HOPS) + 1):
-        seen = absorb(seen, contributions(seen.where(F.col("depth") == hop - 1), edges, hop), active, hop)
+        # both the next hop and what was seen read it
+        seen = materialise(absorb(seen, contributions(seen.where(F.col("depth") == hop - 1), edges, hop), active, hop), f"hop{hop}")
     return seen
 
 

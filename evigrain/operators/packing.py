@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import fixed
+from evigrain.functions.numbers import SHIFT
+from evigrain.functions.text import render, term_list
 from evigrain.session import materialise
 
 #: Candidates of a run that a round of packing in order looks at.
@@ -36,7 +38,7 @@ def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     term_no = columns("matched")
     facets, core, matched = _incidence(pdf["facets"], columns("facets")), _incidence(pdf["core_facets"], columns("core_facets")), _incidence(pdf["matched"], term_no)
     df = matched.sum(axis=0)
-    weight = np.array([round(math.log((1 + n) / (1 + d)) + 1.0, 10) for d in df])
+    weight = np.array([round(math.log((1 + n) / (1 + d)) + 1.0 + SHIFT, 10) for d in df])
     word_no: dict[str, int] = {}
     flat = np.array([word_no.setdefault(w, len(word_no)) for ws in pdf["terms"] for w in ws], np.int64)
     sizes = np.array([len(ws) for ws in pdf["terms"]], np.int64)
@@ -47,7 +49,7 @@ def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     while left.any():
         nf, nc, nt = (facets & ~got_f).sum(axis=1), (core & ~got_c).sum(axis=1), matched & ~got_t
         gain = fixed.FACET_GAIN * nf / max(1, many) + fixed.CORE_GAIN * nc + fixed.LEXICAL_GAIN * (nt @ weight if len(weight) else np.zeros(n))
-        utility = np.round((score * (1.0 - fixed.REDUNDANCY * similar) + gain) / (1.0 + fixed.LENGTH_COST * cost / max(1, budget)), 10)
+        utility = np.round((score * (1.0 - fixed.REDUNDANCY * similar) + gain) / (1.0 + fixed.LENGTH_COST * cost / max(1, budget)) + SHIFT, 10)
         order = [i for i in np.lexsort((np.arange(n), cost, -score, -utility)) if left[i]]
         for i in order:
             left[i] = False
@@ -70,14 +72,17 @@ def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def pack_by_coverage(expressed: DataFrame) -> DataFrame:
+def pack_by_coverage(expressed: DataFrame, units: DataFrame) -> DataFrame:
     """Selected (with rank) and rejected candidates of the runs that pack by coverage.
 
     The choice is sequential within a run, so runs are what is parallel; a run has its channel candidates (50 for each
     of 3 channels and 8 facets at most) and the expanded ones that passed the threshold. Ties go to the higher score,
     the cheaper unit, the smaller id. The tokens of a context are the sum of those of its units, since the blank line between them has none.
     """
-    c = expressed.where("excluded is null and use_packing").select("run_id", "unit_id", "score", "tokens", "facets", "core_facets", "matched", "terms", "budget", "facet_count")
+    c = expressed.where("excluded is null and use_packing").select("run_id", "unit_id", "score", "tokens", "facets", "core_facets", "matched", "budget", "facet_count")
+    # the words of a content as hashes: redundancy only asks which are shared
+    terms = units.select("unit_id", F.transform(term_list("content"), lambda t: F.xxhash64(t)).alias("terms"))
+    c = c.join(terms, "unit_id")
     return c.groupBy("run_id").applyInPandas(_pack, _PACKED)
 
 
@@ -117,7 +122,7 @@ def pack_in_order(ranked: DataFrame, *order, block: int = BLOCK) -> DataFrame:
     return out
 
 
-def pack(expressed: DataFrame) -> DataFrame:
+def pack(expressed: DataFrame, units: DataFrame) -> DataFrame:
     """Selected candidates of all runs, each by its way of packing, and what didn't fit."""
     plain = expressed.where("excluded is null and not use_packing")
     turn = [(-F.col("score")).alias("s"), F.col("tokens").alias("t"), F.col("unit_id").alias("u")]
@@ -130,12 +135,12 @@ def pack(expressed: DataFrame) -> DataFrame:
         "run_id", "unit_id", F.lit(None).cast("int").alias("rank"), (F.col("used") + F.col("tokens")).cast("bigint").alias("would_use")
     )
     none = lambda df: df.select("run_id", "unit_id", "rank", *[F.lit(None).cast(t).alias(c) for c, t in (("utility", "double"), ("new_facets", "int"), ("new_core", "int"), ("new_terms", "int"))], "would_use")
-    return pack_by_coverage(expressed).unionByName(none(ordered)).unionByName(none(lost))
+    return pack_by_coverage(expressed, units).unionByName(none(ordered)).unionByName(none(lost))
 
 
-def contexts(scored: DataFrame, packed: DataFrame) -> DataFrame:
+def contexts(scored: DataFrame, packed: DataFrame, units: DataFrame) -> DataFrame:
     """(run_id, context, context_tokens, selected): the rendered selection of each run, a blank line between units."""
-    s = packed.where("rank is not null").join(scored.select("run_id", "unit_id", "rendered", "tokens"), ["run_id", "unit_id"])
+    s = packed.where("rank is not null").join(scored.select("run_id", "unit_id", "tokens"), ["run_id", "unit_id"]).join(units.select("unit_id", render().alias("rendered")), "unit_id")
     rows = F.sort_array(F.collect_list(F.struct("rank", "unit_id", "rendered")))
     return s.groupBy("run_id").agg(rows.alias("x"), F.sum("tokens").alias("context_tokens")).select(
         "run_id", F.array_join("x.rendered", "\n\n").alias("context"), "context_tokens", F.col("x.unit_id").alias("selected")
@@ -144,7 +149,7 @@ def contexts(scored: DataFrame, packed: DataFrame) -> DataFrame:
 
 def selected_payload(scored: DataFrame, packed: DataFrame) -> DataFrame:
     """Each selected unit with rank, score, tokens, facets, matched terms, citation and reasons."""
-    how = F.when(F.col("use_packing"), F.format_string("coverage-splice=facets:%d,core:%d,terms:%d", "new_facets", "new_core", "new_terms")).otherwise(F.lit("score-order"))
+    how = F.when(F.col("use_packing"), F.concat(F.lit("coverage-splice=facets:"), "new_facets", F.lit(",core:"), "new_core", F.lit(",terms:"), "new_terms")).otherwise(F.lit("score-order"))
     cite = F.struct("source_id", "source_location", F.coalesce("source_hash", F.lit("")).alias("source_hash"), "source_version", "source_active", "confidence")
     return packed.where("rank is not null").join(scored, ["run_id", "unit_id"]).select(
         "run_id", "question_id", "rank", "unit_id", "subject_id", "label", "score", F.col("tokens").alias("estimated_tokens"), F.col("facets").alias("facet_ids"), F.col("core_facets").alias("core_facet_ids"),

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.functions import fixed
-from evigrain.functions.text import fold, lexical_forms, render, term_list, token_estimate, unit_text
+from evigrain.functions.numbers import r10
+from evigrain.functions.text import fold, lexical_forms, render, token_estimate, unit_text
+
+from evigrain.session import materialise
+
+
+def _decimal(c: Column) -> Column:
+    """A number with three places."""
+    return c.cast("decimal(20,12)").cast("decimal(12,3)").cast("string")
+
+
+def features(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """What scoring needs of each unit: its tokens as rendered and which forms of a vocabulary it has; no texts."""
+    hits = units.select("unit_id", F.explode(lexical_forms(unit_text())).alias("form")).join(vocabulary, "form", "left_semi").groupBy("unit_id").agg(F.collect_list("form").alias("forms"))
+    u = units.select("unit_id", "subject_id", "label", "kind", "source_id", "source_location", "confidence", "state", token_estimate(render()).alias("tokens"))
+    return u.join(hits, "unit_id", "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<string>")))
 
 
 def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources: DataFrame, marks: DataFrame) -> DataFrame:
@@ -14,14 +29,16 @@ def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources:
 
     ``runs`` has (run_id, question_id, budget, use_marks, use_suppressors, use_packing) and the plan of the question. The first
     that holds excludes: a suppressed term, a superseded version, an explicit suppression. The score is multiplied
-    by confidence, lexical coverage, recency of the source, task and feedback, in this order.
+    by confidence, lexical coverage, recency of the source, task and feedback, in this order. Units are read once, however
+    many runs they are candidates of.
     """
-    u = units.select("unit_id", "subject_id", "label", "kind", "content", "summary", "source_id", "source_location", "confidence", "state")
+    vocabulary = runs.select(F.explode(F.array_union("query_terms", "negatives")).alias("form")).distinct()
+    mine = units.join(candidates.select("unit_id").distinct(), "unit_id", "left_semi")
+    u = materialise(features(mine, vocabulary), "features")
     s = sources.select("source_id", F.col("active").alias("source_active"), F.col("content_hash").alias("source_hash"), F.col("version").alias("source_version"), F.lit(True).alias("source_known"))
     m = marks.select("unit_id", "boost", "suppressed")
     r = runs.select("run_id", "question_id", "task", "temporal_mode", "negatives", "query_terms", "facet_count", "core_forms", "budget", "use_marks", "use_suppressors", "use_packing")
-    c = candidates.join(r, "run_id").join(u, "unit_id").join(s, "source_id", "left").join(m, "unit_id", "left")
-    c = c.withColumn("forms", lexical_forms(unit_text()))
+    c = candidates.join(r, "run_id").join(u.join(s, "source_id", "left").join(m, "unit_id", "left"), "unit_id")
     # without feedback there are no marks, and so no explicit suppression either
     boost, hidden = F.when(F.col("use_marks"), F.col("boost")), F.col("use_marks") & F.col("use_suppressors") & F.coalesce("suppressed", F.lit(False))
     c = c.withColumn("barred", F.sort_array(F.array_intersect("forms", "negatives")))
@@ -47,16 +64,15 @@ def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources:
     reasons = F.concat(
         F.transform("channels", lambda x: F.concat(F.lit("promoter="), x)),
         some(
-            F.format_string("lexical-coverage=%.3f", coverage), F.concat(F.lit("temporal="), "state"),
+            F.concat(F.lit("lexical-coverage="), _decimal(coverage)), F.concat(F.lit("temporal="), "state"),
             F.when(F.col("source_known"), F.when(F.col("source_active"), "source=current").otherwise("source=historical")),
-            F.when(fits, F.concat(F.lit("task="), "task")), F.when(boost.isNotNull(), F.format_string("epigenetic=%+.3f", boost)),
+            F.when(fits, F.concat(F.lit("task="), "task")), F.when(boost.isNotNull(), F.concat(F.lit("epigenetic="), F.when(boost >= 0, "+").otherwise(""), _decimal(boost))),
         ),
     )
     core = F.filter("facets", lambda f: F.arrays_overlap(F.element_at("core_forms", f), F.col("matched")))
-    text = render()
     return c.select(
-        "run_id", "question_id", "unit_id", "subject_id", F.round(score, 10).alias("score"), "facets", core.alias("core_facets"), "matched", "barred", "protected", reasons.alias("reasons"),
-        excluded.alias("excluded"), token_estimate(text).alias("tokens"), text.alias("rendered"), term_list("content").alias("terms"), "label", "source_id", "source_location", "source_hash", "source_version",
+        "run_id", "question_id", "unit_id", "subject_id", r10(score).alias("score"), "facets", core.alias("core_facets"), "matched", "barred", "protected", reasons.alias("reasons"),
+        excluded.alias("excluded"), "tokens", "label", "source_id", "source_location", "source_hash", "source_version",
         F.coalesce("source_active", F.lit(False)).alias("source_active"), F.col("source_known").isNotNull().alias("source_known"), "confidence", "budget", "facet_count", "query_terms", "use_packing",
     )
 
@@ -72,7 +88,7 @@ def threshold(scored: DataFrame) -> DataFrame:
     intent = F.col("protected") | (F.size("core_facets") > 0)
     low = F.col("excluded").isNull() & F.col("use_packing") & (F.col("score") + fixed.EPSILON < F.col("floor"))
     why = F.when(low & intent, F.array(F.when(F.size("core_facets") > 0, "core-facet-protected").otherwise("facet-protected"))).otherwise(F.array().cast("array<string>"))
-    return c.withColumn("reasons", F.concat("reasons", why)).withColumn("excluded", F.when(low & ~intent, "expression threshold").otherwise(F.col("excluded"))).withColumn("floor", F.round("floor", 10))
+    return c.withColumn("reasons", F.concat("reasons", why)).withColumn("excluded", F.when(low & ~intent, "expression threshold").otherwise(F.col("excluded"))).withColumn("floor", r10("floor"))
 
 
 def term_weights(expressed: DataFrame) -> DataFrame:
@@ -82,7 +98,7 @@ def term_weights(expressed: DataFrame) -> DataFrame:
     df = c.select("run_id", F.explode("matched").alias("term")).groupBy("run_id", "term").agg(F.count("*").alias("df"))
     asked = n.select("run_id", "n", F.explode("q").alias("term"))
     weight = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1.0
-    return asked.join(df, ["run_id", "term"], "left").select("run_id", "term", F.round(weight, 10).alias("weight"))
+    return asked.join(df, ["run_id", "term"], "left").select("run_id", "term", r10(weight).alias("weight"))
 
 
 __all__ = ["regulate", "term_weights", "threshold"]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.functions import fixed
+from evigrain.functions.numbers import exact_sum, r10
+from evigrain.operators.expansion import facet_bits, facet_list
 
 
 def replacements(candidates: DataFrame, units: DataFrame) -> DataFrame:
@@ -21,23 +23,20 @@ def resolve(candidates: DataFrame, units: DataFrame) -> DataFrame:
     A version inherits 1.08 times the score of each version it replaces, its facets and its protection. The versions that were
     replaced stay; scoring excludes them.
     """
-    asked = candidates.where("temporal_mode = 'current'")
-    old = asked.select("run_id", F.col("unit_id").alias("old_id"), "score", "facets", "protected")
+    old = units.where("state = 'historical'").select("unit_id", "subject_id")
+    new = units.where("active and state = 'current'").select(F.col("unit_id").alias("new_id"), "subject_id")
+    asked = candidates.where("temporal_mode = 'current'").select("run_id", "unit_id", "score", facet_bits("facets").alias("bits"), "protected")
     gain = (
-        replacements(asked, units)
-        .join(old, ["run_id", "old_id"])
-        .groupBy("run_id", "unit_id")
-        .agg(
-            F.sum(F.col("score") * fixed.VERSION_BOOST).alias("gain"),
-            F.array_distinct(F.flatten(F.collect_set("facets"))).alias("f"),
-            F.sort_array(F.collect_set(F.concat(F.lit("temporal:current-allele:"), "old_id"))).alias("c"),
-            F.max("protected").alias("p"),
-        )
+        asked.join(old, "unit_id")
+        .join(new, "subject_id")
+        .groupBy("run_id", F.col("new_id").alias("unit_id"))
+        .agg(exact_sum(F.col("score") * fixed.VERSION_BOOST).alias("gain"), F.bit_or("bits").alias("bits"), F.sort_array(F.collect_set("unit_id")).alias("from"), F.max("protected").alias("p"))
+        .select("run_id", "unit_id", "gain", facet_list(F.col("bits")).alias("f"), F.transform("from", lambda x: F.concat(F.lit("temporal:current-allele:"), x)).alias("c"), "p")
     )
     none = lambda t: F.array().cast(f"array<{t}>")
     return candidates.drop("temporal_mode").join(gain, ["run_id", "unit_id"], "full_outer").select(
         "run_id", "unit_id",
-        F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)), 10).alias("score"),
+        r10(F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"),
         F.sort_array(F.array_union(F.coalesce("facets", none("int")), F.coalesce("f", none("int")))).alias("facets"),
         F.concat(F.coalesce("channels", none("string")), F.coalesce("c", none("string"))).alias("channels"),
         (F.coalesce("protected", F.lit(False)) | F.coalesce("p", F.lit(False))).alias("protected"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.functions import fixed
+from evigrain.functions.numbers import r10
 from evigrain.functions.questions import facet_rows, plan
 from evigrain.functions.text import forms_of
 from evigrain.operators import channels, expansion, packing, scoring, temporal
@@ -38,9 +39,10 @@ class Retrieval:
     candidates: DataFrame
     scored: DataFrame
     packed: DataFrame
+    units: DataFrame
 
     def contexts(self) -> DataFrame:
-        return packing.contexts(self.scored, self.packed)
+        return packing.contexts(self.scored, self.packed, self.units)
 
     def selected(self) -> DataFrame:
         return packing.selected_payload(self.scored, self.packed)
@@ -57,7 +59,7 @@ class Retrieval:
         zero = lambda x: F.coalesce(x, F.lit(0)).cast("bigint").alias(x)
         m = self.runs.select("run_id", "question_id", "budget", "facet_count").join(c, "run_id", "left").join(s, "run_id", "left")
         m = m.select("run_id", "question_id", F.col("budget").cast("bigint").alias("budget"), F.col("facet_count").cast("bigint").alias("facet_count"), *map(zero, ("candidate_count", "expressed_count", "context_tokens", "selected_count", "covered_facets")))
-        return m.withColumn("excluded_count", F.col("candidate_count") - F.col("selected_count")).withColumn("budget_utilization", F.round(F.col("context_tokens") / F.col("budget"), 10))
+        return m.withColumn("excluded_count", F.col("candidate_count") - F.col("selected_count")).withColumn("budget_utilization", r10(F.col("context_tokens") / F.col("budget")))
 
 
 def check_budget(questions: DataFrame) -> DataFrame:
@@ -103,5 +105,5 @@ def retrieve(questions: DataFrame, corpus: Corpus, methods: dict[str, tuple[bool
     fused = recall(p, corpus.units, k)
     candidates = materialise(spread(fused, runs, corpus, hops), "candidates")
     scored = materialise(scoring.threshold(materialise(scoring.regulate(candidates, runs, corpus.units, corpus.sources, corpus.marks), "regulated")), "scored")
-    packed = materialise(packing.pack(scored), "packed")
-    return Retrieval(runs, fused, candidates, scored, packed)
+    packed = materialise(packing.pack(scored, corpus.units), "packed")
+    return Retrieval(runs, fused, candidates, scored, packed, corpus.units)

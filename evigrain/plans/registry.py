@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from evigrain.operators import history, orphans
+from evigrain.plans import queries as Q
 
 
 def flagship(spark, folder):
-    raise NotImplementedError("the retrieval pipeline is not built; README lists what is missing")
+    return Q.QUERIES["retrieve"](spark, folder)
 
 
 def queries():
-    return {f.__name__: f for f in (orphans.p4_found, orphans.p4_totals, orphans.p4_cascade, history.p5_found, history.p5_history)}
+    return Q.QUERIES | {f.__name__: f for f in (orphans.p4_found, orphans.p4_totals, orphans.p4_cascade, history.p5_found, history.p5_history)}
 
 
 def oracle_sql():
-    return {"p4_found": _P4_FOUND, "p5_found": _P5_FOUND}
+    return Q.ORACLE | {"p4_found": _P4_FOUND, "p5_found": _P5_FOUND}
 
 
 _P4_FOUND = """
