@@ -1,16 +1,19 @@
-"""Near-duplicate records: multi-index Hamming join of word signatures (problem 2).
-
-A record's signature is a wide bit vector with one bit per hashed word. Two word sets of sizes a and b have a
-Jaccard similarity of 0.8 or more exactly if their signatures differ in at most (a + b) / 9 bits. The signature is
-split into more chunks than that bound, so by the pigeonhole principle every pair within the bound agrees in
-SPARE chunks at least: an index on single chunks finds all pairs. Sizes are cut into bands, since the bound grows
-with the size; a record also stands in the next band where a larger partner may be.
-
-A chunk value that many records share (small words only, boilerplate) would pair them all. Such hot values emit
-nothing; what agrees there agrees in another chunk as well, so the hot chunks of a record are combined in twos and
-those combinations are indexed, exactly. A pair that leaves the index has passed a 64-bit digest of both
-signatures, whose distance never exceeds that of the signatures; words are compared in full only after that.
-Equal word sets form one class and are indexed once.
+"""Near-duplicate records: multi-index Hamming join of word signatures with enumerated chunk errors (problem 2).
+
+A record's signature is a wide bit vector with one bit per hashed word. Two word sets of sizes a <= b have a Jaccard
+similarity of 0.8 or more exactly if their signatures differ in at most T = (a + b) / 9 bits, and no more of these are the
+smaller set's than the larger one's. The signature is split into chunks, and each chunk may hold one error: the larger
+record's bit. It is enumerated, every record standing in the index under each of its chunks as it is and, for partners that
+are smaller, under each chunk with one bit cleared. A chunk fails only by a bit of the smaller record or by two of the
+larger, so at most T/2 + (T/2)/2 chunks fail; there are SPARE more, so by the pigeonhole principle every pair meets in
+that many chunks at least. Sizes are cut into bands, since T grows with the size; in the next band, where larger
+partners may be, a record stands with its plain chunks only.
+
+An index row is two numbers: the key of a chunk, and a handle of the record, which holds its size and a 54-bit digest
+of its signature whose distance never exceeds that of the signatures. A key under which too many would be compared is hot
+and compares nothing; what meets there meets in another chunk as well, so the hot keys of a record are combined in twos
+and these are indexed, exactly. Candidates are then compared by sketches that grow with the sets, and only what these
+leave by its words. Equal word sets form one class and are compared once.
 """
 
 from __future__ import annotations
@@ -25,17 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.operators.components import components
-from evigrain.session import materialise
+from evigrain.session import materialise, release
 from evigrain.sources.tables import norm_ref, table
 
 #: Similarity 0.8 = NUM / DEN: a distance of at most (a + b) * (DEN - NUM) / (DEN + NUM) bits.
 NUM, DEN = 4, 5
-#: Chunks beyond the bound: so many chunks at least agree in every pair.
-SPARE = 2
-#: Records of one chunk value above which it counts as hot.
-HOT = 24
-#: Records of a hot combination that are compared at a time.
-BLOCK = 1024
+#: A key is hot if more comparisons than HOT * HOT / 2 stand under it.
+HOT = 1024
+#: Comparisons that are held in memory at a time.
+AT_ONCE = 1 << 21
+#: Bits of the digest in a handle; sets of so few words have a hash there instead, as their digests would coincide.
+DIGEST, FEW = 54, 9
+_MASK = (1 << DIGEST) - 1
+#: Bits of a key that hold its chunk, the parity of its band, and whether a bit is cleared.
+SLOT = 14
 
 _WORD = re.compile(r"\w{2,}")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,7 +49,7 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 def words(text: str) -> set[str]:
     """Distinct lower-cased runs of letters, digits and underscores of at least two characters."""
-    return set(_WORD.findall(text.lower()))
+    return {w.lower() for w in _WORD.findall(text)}
 
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -53,6 +59,17 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0]-1, 0 .. n[1]-1, ..."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+
+
+def _scale(x: np.ndarray, m) -> np.ndarray:
+    """Hashes as even numbers below m."""
+    return ((x >> np.uint64(32)) * np.asarray(m).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
 def bands(most: int) -> list[int]:
     """Smallest size of each band, up to one that holds ``most``; each band is 5/4 as wide as its start."""
     low = [1]
@@ -66,11 +83,39 @@ def bound(a, b):
     return (a + b) * (DEN - NUM) // (DEN + NUM)
 
 
-_SIGNED = "id string, locus_id string, c1 bigint, c2 bigint, n int, digest bigint, words array<bigint>"
+def spare(t):
+    """Chunks in which a pair meets at least; more for long sets, so that fewer hot keys need be combined."""
+    return (2 + t // 16) * (1 + t // (1 << SLOT))
+
+
+def chunks(t):
+    """Chunks for a distance of ``t``: those that may fail, and the spare ones."""
+    return t // 2 + (t + 1) // 2 // 2 + spare(t)
+
+
+_SIGNED = "id string, locus_id string, c1 bigint, c2 bigint, n int, d bigint, sketch array<bigint>, words array<bigint>"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _parities(h: np.ndarray, n: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The parity sketches of several sets, one after the other, in words of 64 bits; a narrow one is a wide one folded."""
+    place = (_mix(h, 3) >> np.uint64(20)).astype(np.int64) & (np.repeat(width, n) * 64 - 1)
+    base = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint64)
+    np.bitwise_xor.at(out, np.repeat(base, n) + place // 64, np.left_shift(np.uint64(1), (place % 64).astype(np.uint64)))
+    return out
+
+
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of a sketch: four bits or more for each member, a power of two."""
+    return 1 << np.maximum(2, np.ceil(np.log2(np.maximum(n, 1) / 16)).astype(np.int64))
 
 
 def _sign(batches):
-    """Word hashes, class and digest of each record; records without words are left out."""
+    """Word hashes, class, handle and sketch of each record; records without words are left out."""
     for b in batches:
         ids, loci = b.column(0), b.column(1)
         sets = [words(t) for t in b.column(2).to_pylist()]
@@ -85,183 +130,208 @@ def _sign(batches):
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
         # the words of a record in the order of their hashes
         h = h[np.lexsort((h, np.repeat(np.arange(len(n)), n)))]
-        bit = np.left_shift(np.uint64(1), _mix(h, 3) >> np.uint64(58))
+        c1 = np.add.reduceat(_mix(h, 1), start)
+        bits = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), _scale(_mix(h, 2), DIGEST).astype(np.uint64)), start)
+        low = np.where(n < FEW, c1 & np.uint64(_MASK), bits)
+        d = np.minimum(n, 1023).astype(np.uint64) << np.uint64(DIGEST) | low
+        width = sketch_words(n)
+        lists = lambda x, m: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]).astype(np.int32)), pa.array(x.view(np.int64)))
         yield pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(keep)),
-                loci.take(pa.array(keep)),
-                pa.array(np.add.reduceat(_mix(h, 1), start).view(np.int64)),
-                pa.array(np.add.reduceat(_mix(h, 2), start).view(np.int64)),
-                pa.array(n.astype(np.int32)),
-                pa.array(np.bitwise_xor.reduceat(bit, start).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([start, [len(h)]]).astype(np.int32)), pa.array(h.view(np.int64))),
+                ids.take(pa.array(keep)), loci.take(pa.array(keep)), pa.array(c1.view(np.int64)), pa.array(np.add.reduceat(_mix(h, 8), start).view(np.int64)),
+                pa.array(n.astype(np.int32)), pa.array(d.view(np.int64)), lists(_parities(h, n, width), width), lists(h, n),
             ],
-            names=[x.split()[0] for x in _SIGNED.split(", ")],
-        )
+            names=_names(_SIGNED),
+        )
 
 
-_KEYS = "key bigint, c1 bigint, digest bigint, n int, band short, chunk short"
+_KEYS = "key bigint, d bigint"
 
 
 def _index(batches):
-    """(chunk value, class) rows of each class in its own band and, where a partner may be, in the next."""
+    """(key, handle) rows of each set: its chunks in its own band, plain and with each bit cleared, and plain in the next."""
     for b in batches:
-        c1 = b.column(0).to_numpy()
-        digest, n = b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
-        w = b.column(3)
+        d, n, w = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2)
         h = w.flatten().to_numpy().view(np.uint64)
-        _, first = np.unique(c1, return_index=True)  # copies within a batch are indexed once
+        _, first = np.unique(d, return_index=True)
+        # copies within a batch are indexed once, but sets that only share a handle are all
+        first = np.arange(len(d)) if len(first) == len(d) else _distinct(d, n, h)
         low = np.array(bands(int(n.max(initial=1))), np.int64)
         own = np.searchsorted(low, n, side="right") - 1
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
-        for nxt in (0, 1):
-            g = own + nxt
-            rows = first if not nxt else first[(g[first] < len(low)) & (DEN * n[first] >= NUM * low[np.minimum(g[first], len(low) - 1)])]
+        for visiting in (0, 1):
+            g = own + visiting
+            rows = first if not visiting else first[(g[first] < len(low)) & (DEN * n[first] >= NUM * low[np.minimum(g[first], len(low) - 1)])]
             if not len(rows):
                 continue
             high = np.append(low[1:], low[-1] * DEN // NUM + 1)[g[rows]] - 1
-            m = bound(high, high) + SPARE
-            at = np.repeat(start[rows], n[rows]) + _ramp(n[rows])
-            x = h[at]
+            t = bound(high, high)
+            m = chunks(t)
+            x = h[np.repeat(start[rows], n[rows]) + _ramp(n[rows])]
             row = np.repeat(np.arange(len(rows)), n[rows])
-            chunk = ((_mix(x, 4) >> np.uint64(32)) * np.repeat(m, n[rows]).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            # value of a chunk: its words, order-free; an empty chunk has a value too
             base = np.concatenate([[0], np.cumsum(m)[:-1]])
-            value = np.zeros(int(m.sum()), np.uint64)
-            np.add.at(value, base[row] + chunk, _mix(x, 5))
-            of = np.repeat(np.arange(len(rows)), m)
-            no = _ramp(m)
-            key = _mix(value + _mix(g[rows][of].astype(np.uint64) * np.uint64(4096) + no.astype(np.uint64), 6), 7)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)),
-                    pa.array(c1[rows][of]),
-                    pa.array(digest[rows][of]),
-                    pa.array(n[rows][of].astype(np.int32)),
-                    pa.array(g[rows][of].astype(np.int16)),
-                    pa.array(no.astype(np.int16)),
-                ],
-                names=[x.split()[0] for x in _KEYS.split(", ")],
-            )
-
-
-def _ramp(n: np.ndarray) -> np.ndarray:
-    """0 .. n[0]-1, 0 .. n[1]-1, ..."""
-    ends = np.cumsum(n)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-
-
-def _near(da, db, na, nb) -> np.ndarray:
-    """What the sizes and the digests allow to be within the bound."""
-    return (np.bitwise_count((da ^ db).view(np.uint64)) <= bound(na, nb)) & (NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb))
-
-
-def _run_pairs(size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions within each of several runs."""
-    a = np.repeat(start, size) + _ramp(size)
-    left = np.repeat(size, size) - 1 - _ramp(size)
-    i = np.repeat(a, left)
-    return i, i + 1 + _ramp(left)
+            at = base[row] + _scale(_mix(x, 4), np.repeat(m, n[rows]))
+            # value of a chunk: its words, order-free; an empty chunk has a value too
+            value, each = np.zeros(int(m.sum()), np.uint64), _mix(x, 5)
+            np.add.at(value, at, each)
+            of, no = np.repeat(np.arange(len(rows)), m), _ramp(m)
+            band = g[rows][of].astype(np.uint64)
+            tag = _mix(band << np.uint64(32) | no.astype(np.uint64), 6)
+            place = (no & ((1 << SLOT) - 1)).astype(np.uint64) << np.uint64(2) | (band & np.uint64(1)) << np.uint64(1)
+            clear = ~np.uint64((1 << (SLOT + 2)) - 1)
+            keys, owner = [_mix(value + tag, 7) & clear | place], [of]
+            if not visiting:
+                some = t[row] > 0
+                a = at[some]
+                keys.append(_mix(value[a] - each[some] + tag[a], 7) & clear | place[a] | np.uint64(1))
+                owner.append(row[some])
+            for k, o in zip(keys, owner):
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d[rows][o])], names=_names(_KEYS))
+
+
+def _distinct(d: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The first of each group of equal sets."""
+    whole = np.add.reduceat(_mix(h, 1), np.concatenate([[0], np.cumsum(n)[:-1]]))
+    return np.unique(np.stack([d.view(np.uint64), whole], 1), axis=0, return_index=True)[1]
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the sizes and digests of two handles allow to be within the bound."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    na, nb = (a >> np.uint64(DIGEST)).astype(np.int64), (b >> np.uint64(DIGEST)).astype(np.int64)
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    far = np.bitwise_count((a ^ b) & np.uint64(_MASK)) > bound(na, nb)
+    # 1023 stands for any larger size too
+    return (NUM * large <= DEN * small) & ~(far & (small >= FEW) & (large < 1023))
+
+
+def _met(key: np.ndarray, d: np.ndarray, cost: np.ndarray, end: np.ndarray):
+    """Distinct pairs of handles that meet: every plain row with all rows behind it in its run; ``cost`` is how many these are."""
+    stop = np.cumsum(cost)
+    i = 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + AT_ONCE, side="right")))
+        c = cost[i:j]
+        x = np.repeat(np.arange(i, j), c)
+        # a row with more partners than are held at once is taken in parts
+        y = x + 1 + _ramp(c)
+        for o in range(0, len(x), AT_ONCE):
+            a, b = d[x[o : o + AT_ONCE]], d[y[o : o + AT_ONCE]]
+            cleared = (key[y[o : o + AT_ONCE]] & 1) == 1
+            # the record whose bit is cleared is the larger one
+            ok = (a != b) & ~(cleared & ((a >> DIGEST & 1023) > (b >> DIGEST & 1023))) & _near(a, b)
+            if ok.any():
+                p = np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], 1)
+                yield np.unique(p, axis=0)
+        i = j
+
+
+_OUT = "a bigint, b bigint, key bigint, d bigint"
 
 
-_OUT = "a bigint, b bigint, c1 bigint, digest bigint, n int, band short, chunk short, key bigint"
+def _buckets(last: bool):
+    """Pairs that meet under equal keys of sorted input; rows of hot keys go on, with no partner."""
 
+    def pairs(p):
+        z = pa.nulls(len(p), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), z, z], names=_names(_OUT))
 
-def _buckets(last: bool):
-    """Candidate pairs of the runs of equal keys in sorted input; rows of hot runs go on, with no partner."""
-
-    def pairs(c, d, n, i, j):
-        ok = (c[i] != c[j]) & _near(d[i], d[j], n[i], n[j])
-        x, y = c[i][ok], c[j][ok]
-        return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-
-    def out(p=None, hot=None):
-        p = np.zeros((0, 2), np.int64) if p is None else p
-        z, k = len(p), 0 if hot is None else len(hot[0])
-        none = lambda t, m: pa.nulls(m, t)
-        cat = lambda t, x: pa.concat_arrays([none(t, z), pa.array(x, t) if k else none(t, 0)])
-        hot = hot or [None] * 6
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(p[:, 0]), none(pa.int64(), k)]),
-                pa.concat_arrays([pa.array(p[:, 1]), none(pa.int64(), k)]),
-                cat(pa.int64(), hot[1]),
-                cat(pa.int64(), hot[2]),
-                cat(pa.int32(), hot[3]),
-                cat(pa.int16(), hot[4]),
-                cat(pa.int16(), hot[5]),
-                cat(pa.int64(), hot[0]),
-            ],
-            names=[x.split()[0] for x in _OUT.split(", ")],
-        )
+    def hot(key, d):
+        z = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([z, z, pa.array(key), pa.array(d)], names=_names(_OUT))
 
-    def work(cols):
-        key, c, d, n = cols[0], cols[1], cols[2], cols[3].astype(np.int64)
-        # copies of one class in a run count once; rows of a class stand together
+    def work(key, d):
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
-        if not fresh.all():
-            cols = [x[fresh] for x in cols]
-            key, c, d, n = cols[0], cols[1], cols[2], cols[3].astype(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        fresh[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
+        key, d = key[fresh], d[fresh]
+        run = key >> 1
+        begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         size = np.diff(np.append(begin, len(key)))
-        some = (size > 1) & (size <= HOT)
-        i, j = _run_pairs(size[some], begin[some])
-        p = pairs(c, d, n, i, j)
-        hot = np.repeat(size > HOT, size)
-        if last:
-            if len(p):
-                yield out(p)
-            for s, z in zip(begin[size > HOT], size[size > HOT]):
-                # what agrees in all that could be asked for is compared in blocks
-                for x in range(s, s + z, BLOCK):
-                    for y in range(x, s + z, BLOCK):
-                        i, j = (k.ravel() for k in np.meshgrid(np.arange(x, min(x + BLOCK, s + z)), np.arange(y, min(y + BLOCK, s + z)), indexing="ij"))
-                        if x == y:
-                            i, j = i[i < j], j[i < j]
-                        q = pairs(c, d, n, i, j)
-                        if len(q):
-                            yield out(q)
-        elif len(p) or hot.any():
-            yield out(p, [x[hot] for x in cols] if hot.any() else None)
+        end = np.repeat(begin + size, size)
+        cost = np.where(key & 1, 0, end - 1 - np.arange(len(key)))
+        total = np.add.reduceat(cost, begin)
+        big = np.repeat(total > HOT * HOT // 2, size)
+        if not last and big.any():
+            yield hot(key[big], d[big])
+            cost = np.where(big, 0, cost)
+        for p in _met(key, d, cost, end):
+            yield pairs(p)
 
     def run(batches):
-        held: list[np.ndarray] | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the run that may go on
+        plain = others = 0
+        streamed = None  # a run known to be hot passes through
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            if not len(cols[0]):
+            key, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            runs = key >> 1
+            if streamed is not None and len(key):
+                cut = int(np.searchsorted(runs, streamed, side="right"))
+                if cut:
+                    yield hot(key[:cut], d[:cut])
+                    key, d, runs = key[cut:], d[cut:], runs[cut:]
+            if not len(key):
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
-            if cut:
-                yield from work([x[:cut] for x in cols])
-            held = [x[cut:] for x in cols]
-        if held is not None and len(held[0]):
-            yield from work(held)
+            streamed = None
+            if not (held and runs[0] == runs[-1] == held[-1][0][-1] >> 1):
+                cut = int(np.searchsorted(runs, runs[-1]))
+                parts = [*held, (key[:cut], d[:cut])]
+                k = np.concatenate([x for x, _ in parts])
+                if len(k):
+                    yield from work(k, np.concatenate([x for _, x in parts]))
+                key, d, held, plain, others = key[cut:], d[cut:], [], 0, 0
+            held.append((key, d))
+            cleared = int((key & 1).sum())
+            plain, others = plain + len(key) - cleared, others + cleared
+            if not last and plain * (plain - 1) // 2 + plain * others > 2 * HOT * HOT:
+                for k, x in held:
+                    yield hot(k, x)
+                streamed, held, plain, others = int(key[-1] >> 1), [], 0, 0
+        if held:
+            yield from work(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]))
 
     return run
 
 
+def _groups(n: np.ndarray, parity: np.ndarray) -> np.ndarray:
+    """How many groups the chunks of a band are cut into, by a record's size and the parity of the band: one fewer than it has
+    spare ones. Bands that hold sizes a handle can't tell have one group."""
+    low = np.array(bands(2048), np.int64)
+    g = np.searchsorted(low, n, side="right") - 1
+    g = np.where((g & 1) == parity, g, g + 1)
+    high = low[g + 1] - 1
+    return np.where(high >= 1023, 1, spare(bound(high, high)) - 1)
+
+
 def _combine(batches):
-    """Hot chunks of each class in one band, in twos."""
+    """Hot keys of each handle in twos: of different chunks of one band, and of one group of chunks.
+
+    A pair meets in ``spare`` chunks at least; cut into one group fewer, two of these fall into one group.
+    """
     for b in batches:
-        c, d, n, g = (b.column(k).to_numpy() for k in range(4))
-        keys = b.column(4)
-        size = pa.compute.list_value_length(keys).to_numpy().astype(np.int64)
-        flat = keys.flatten().to_numpy().view(np.uint64)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        i, j = _run_pairs(size, start)
-        left = np.repeat(size, size) - 1 - _ramp(size)
-        row = np.repeat(np.repeat(np.arange(len(size)), size), left)
-        key = _mix(_mix(flat[i], 8) + flat[j], 9)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(key.view(np.int64)), pa.array(c[row]), pa.array(d[row]), pa.array(n[row]), pa.array(g[row]),
-                pa.array(np.zeros(len(row), np.int16)),
-            ],
-            names=[x.split()[0] for x in _KEYS.split(", ")],
-        )
+        d, lists = b.column(0).to_numpy(), b.column(1)
+        many = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        k = lists.flatten().to_numpy().view(np.uint64)
+        owner = np.repeat(np.arange(len(d)), many)
+        no, parity = (k >> np.uint64(2)).astype(np.int64) & ((1 << SLOT) - 1), (k >> np.uint64(1)).astype(np.int64) & 1
+        slot = 2 * (no % _groups((d >> DIGEST & 1023)[owner], parity)) + parity
+        order = np.lexsort((k, slot, owner))
+        k, slot, owner, no = k[order], slot[order], owner[order], no[order]
+        if not len(k):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (owner[1:] != owner[:-1])]))
+        size = np.diff(np.append(begin, len(k)))
+        left = np.repeat(begin + size, size) - 1 - np.arange(len(k))
+        stop, at = np.cumsum(left), 0
+        while at < len(k):
+            to = max(at + 1, int(np.searchsorted(stop, (stop[at - 1] if at else 0) + AT_ONCE, side="right")))
+            i = np.repeat(np.arange(at, to), left[at:to])
+            j = i + 1 + _ramp(left[at:to])
+            ok = no[i] != no[j]
+            i, j = i[ok], j[ok]
+            x, y = k[i] & ~np.uint64(1), k[j] & ~np.uint64(1)
+            key = _mix(_mix(np.minimum(x, y), 9) + np.maximum(x, y), 10) & ~np.uint64(1) | (k[i] | k[j]) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d[owner[i]])], names=_names(_KEYS))
+            at = to
 
 
 def signed(genes: DataFrame, key: str = "id", subject: str = "locus_id", text: str = "content") -> DataFrame:
@@ -271,30 +341,52 @@ def signed(genes: DataFrame, key: str = "id", subject: str = "locus_id", text: s
 
 
 def candidates(s: DataFrame) -> DataFrame:
-    """(a, b): classes that may be within the bound; a superset that holds every pair within it."""
+    """(da, db): handles of sets that may be within the bound; a superset that holds every pair within it."""
     spark = s.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = s.select("c1", "digest", "n", "words").mapInArrow(_index, _KEYS)
-    level1 = materialise(
-        keys.repartition(parts, "key").sortWithinPartitions("key", "c1").mapInArrow(_buckets(False), _OUT), "neardup-level1"
-    )
-    hot = level1.where("a is null").groupBy("c1", "band").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.array_sort(F.collect_set("key")).alias("keys"))
-    twos = hot.select("c1", "digest", "n", "band", "keys").mapInArrow(_combine, _KEYS)
-    level2 = twos.repartition(parts, "key").sortWithinPartitions("key", "c1").mapInArrow(_buckets(True), _OUT)
-    return level1.where("a is not null").select("a", "b").unionByName(level2.select("a", "b")).distinct()
+    run = F.expr("shiftright(key, 1)")
+    keys = s.select("d", "n", "words").mapInArrow(_index, _KEYS)
+    level1 = materialise(keys.repartition(parts, run).sortWithinPartitions("key", "d").mapInArrow(_buckets(False), _OUT), "neardup-level1")
+    hot = level1.where("a is null").groupBy("d").agg(F.collect_set("key").alias("keys")).where("size(keys) > 1")
+    twos = hot.mapInArrow(_combine, _KEYS)
+    level2 = twos.repartition(parts, run).sortWithinPartitions("key", "d").mapInArrow(_buckets(True), _OUT)
+    found = level1.where("a is not null").select("a", "b").unionByName(level2.select("a", "b")).distinct()
+    out = materialise(found.withColumnsRenamed({"a": "da", "b": "db"}), "neardup-candidates")
+    release(level1)
+    return out
 
 
 def similar_classes(s: DataFrame) -> DataFrame:
-    """(a, a2, b, b2, similarity): pairs of different word sets of 0.8 or more, by their 128-bit class ids."""
+    """(a, a2, b, b2, similarity): pairs of different word sets of 0.8 or more, by their 128-bit class ids.
+
+    Sets whose handles are equal are candidates too. Sketches are compared first: of the narrower width, to which the wider one is folded.
+    """
     found = candidates(s)
-    sets = s.groupBy("c1", "c2").agg(F.first("words").alias("words"), F.first("n").alias("n"))
-    left = sets.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("words").alias("wa"), F.col("n").alias("na"))
-    right = sets.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("words").alias("wb"), F.col("n").alias("nb"))
-    both = F.size(F.array_intersect("wa", "wb"))
+    k = s.groupBy("c1", "c2").agg(F.first("d").alias("d"), F.first("n").alias("n"), F.first("sketch").alias("k"))
+    side = lambda x, y: k.select(F.col("c1").alias(x), F.col("c2").alias(f"{x}2"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"))
+    left, right = side("a", "wa"), side("b", "wb")
+    cross = found.join(left, "da").join(right, "db")
+    # equal handles mean equal sizes, and such sets differ in two words at least: none of fewer than FEW can be similar
+    twins = left.where(F.col("na") >= FEW).join(right, F.col("da") == F.col("db")).where("a < b or (a = b and a2 < b2)")
+    both = cross.select(*left.columns, *right.columns).unionByName(twins.select(*left.columns, *right.columns))
+    width = F.least(F.size("ka"), F.size("kb"))
+    folded = lambda c: F.when(F.size(c) == width, F.col(c)).otherwise(
+        F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(F.filter(c, lambda _, j: j % width == i), F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseXOR(v)))
+    )
+    distance = F.aggregate(F.zip_with(folded("ka"), folded("kb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+    likely = both.where((F.greatest("na", "nb") * NUM <= F.least("na", "nb") * DEN) & (distance <= F.floor((F.col("na") + F.col("nb")) * (DEN - NUM) / (DEN + NUM))))
+    likely = materialise(likely.select("a", "a2", "b", "b2", "na", "nb"), "neardup-likely")
+    release(found)
+    # words travel for what is left only
+    asked = likely.select(F.explode(F.array(F.struct(F.col("a").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b").alias("c1"), F.col("b2").alias("c2")))).alias("x")).select("x.*").distinct()
+    sets = s.select("c1", "c2", "words").join(asked, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("words").alias("words"))
+    wa = sets.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("words").alias("wa"))
+    wb = sets.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("words").alias("wb"))
+    shared = F.size(F.array_intersect("wa", "wb"))
     return (
-        found.join(left, "a")
-        .join(right, "b")
-        .withColumn("both", both)
+        likely.join(wa, ["a", "a2"])
+        .join(wb, ["b", "b2"])
+        .withColumn("both", shared)
         .withColumn("either", F.col("na") + F.col("nb") - F.col("both"))
         .where(F.col("both") * DEN >= F.col("either") * NUM)
         .select("a", "a2", "b", "b2", (F.col("both") / F.col("either")).alias("similarity"))
