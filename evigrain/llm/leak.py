@@ -1,11 +1,10 @@
 """Evaluation passages inside a training corpus, by an FM-index per corpus shard (problem 7).
 
-Words of a document that occur in no test item break its word sequence; only runs of known words that are as long
-as a passage can hold one. The runs of a shard are strung together with separators and indexed: suffix array by
-prefix doubling, Burrows-Wheeler transform, wavelet matrix for ranks, a sample of suffix positions. Every phrase of
-the test items is searched backwards through the ranks, all phrases at once; occurrences are located by walking to
-the next sampled position and overlapping ones merged into removal spans. A shard is a part of a scan partition,
-so the corpus isn't shuffled; the phrases are the only thing sent to all executors, in blocks of bounded size.
+All words of a shard's documents are strung together, a separator behind each, and indexed: suffix array by prefix
+doubling of what is not yet in order, Burrows-Wheeler transform, wavelet matrix for ranks, a sample of suffix positions. Every
+phrase of the test items is searched backwards through the ranks, all phrases at once; occurrences are located by
+walking to the next sampled position, and overlapping ones merged into spans. A shard is a part of a scan partition, so the
+corpus isn't shuffled. The phrases are the only thing sent to all executors, in blocks whose size is bounded.
 """
 
 from __future__ import annotations
@@ -13,8 +12,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.sources.tables import table
@@ -23,14 +23,16 @@ from evigrain.sources.tables import table
 PASSAGE = 8
 #: One suffix position in so many is kept.
 SAMPLE = 8
-#: Words of test items that are searched for at a time, and indexed words of a shard.
-BLOCK_WORDS, SHARD_WORDS = 200_000, 1_000_000
+#: Words of test items that are searched for at a time: a block is an integer for each, some 20 MB. Indexed words of a shard.
+BLOCK_WORDS, SHARD_WORDS = 4_000_000, 400_000
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
     """Lower-cased maximal runs of letters and digits, in order."""
+    if "\u0130" in text:  # its small form is two characters, one of them no letter
+        return [w.lower() for w in _WORD.findall(text)]
     return _WORD.findall(text.lower())
 
 
@@ -72,21 +74,35 @@ class WaveletMatrix:
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a sequence, by prefix doubling."""
+    """Order of the suffixes of a sequence of numbers from 0: three symbols first, then prefix doubling of ties only."""
     n = len(seq)
-    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64) + 1
+    width = int(rank.max()).bit_length()
+    step = max(1, min(3, 63 // width))
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = key << width
+        key[: n - k if n > k else 0] |= rank[k:]
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    first = np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = first  # a suffix has the place of the first of its group
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step if n > step else 0] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        if new[order[-1]] == n - 1 or step >= n:
+        size = np.diff(np.append(np.flatnonzero(begin), n))
+        tied = np.flatnonzero(np.repeat(size > 1, size))  # places that are not settled
+        if not len(tied):
             return order
-        rank, step = new, step * 2
+        at = order[tied]
+        after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        o = np.lexsort((after, rank[at]))
+        at, group, after = at[o], rank[at][o], after[o]
+        order[tied] = at
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
+        begin[tied] = new
+        rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
+        step *= 2
 
 
 class FMIndex:
@@ -132,133 +148,147 @@ class FMIndex:
         return out
 
 
-def _phrases(items: list[tuple[str, list[str]]], size: int) -> tuple[dict[str, int], np.ndarray, list[list[int]]]:
-    """Symbols of the words, distinct phrases, and the items each belongs to."""
-    vocab: dict[str, int] = {}
-    seen: dict[tuple[int, ...], set[int]] = {}
-    for q, (_, ws) in enumerate(items):
-        s = [vocab.setdefault(w, len(vocab) + 2) for w in ws]
-        for i in range(len(s) - size + 1):
-            seen.setdefault(tuple(s[i : i + size]), set()).add(q)
-    p = np.array(list(seen), np.int64).reshape(-1, size)
-    return vocab, p, [sorted(v) for v in seen.values()]
-
-
-_SCHEMA = "question_id string, first_word int, last_word int"
-
-
-def _scan(items: list[tuple[str, list[str]]], size: int, shard: int):
+class Phrases:
+    """A block of test items as numbers: the words, the distinct phrases of one length, and the items of each."""
+
+    def __init__(self, items: list[tuple[str, list[str]]], size: int):
+        self.size, self.ids = size, [i for i, _ in items]
+        code, vocab = pd.factorize(np.array([w for _, ws in items for w in ws], dtype=object))
+        self.vocab = list(vocab)
+        n = np.array([len(ws) for _, ws in items], np.int64)
+        each = np.maximum(n - size + 1, 0)
+        base = np.repeat(np.cumsum(n) - n, each) + (np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each))
+        all_ = code[base[:, None] + np.arange(size)] if len(base) else np.zeros((0, size), np.int64)
+        self.phrases, which = np.unique(all_, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), np.repeat(np.arange(len(items)), each)], 1), axis=0)
+        self.start = np.searchsorted(pairs[:, 0], np.arange(len(self.phrases) + 1))
+        self.owner = pairs[:, 1]
+
+
+class Shard:
+    """Documents that are indexed together."""
+
+    def __init__(self):
+        self.keys, self.texts, self.words, self.starts = [], [], [], []
+
+    def add(self, key, text: str) -> None:
+        self.starts.append(len(self.words))
+        self.keys.append(key)
+        self.texts.append(text)
+        self.words += words(text)
+        self.words.append("")
+
+    def search(self, p: Phrases) -> list[tuple[int, int, int, int]]:
+        """(document, item, first word, last word) of each merged span."""
+        code, vocab = pd.factorize(np.array(self.words, dtype=object))
+        number = {w: i for i, w in enumerate(vocab)}
+        known = np.array([number.get(w, -1) for w in p.vocab], np.int64)
+        phrases = known[p.phrases]
+        mine = np.flatnonzero((phrases >= 0).all(axis=1))
+        if not len(mine):
+            return []
+        fm = FMIndex(code + 1)
+        low, high = fm.search(phrases[mine] + 1)
+        found = np.flatnonzero(high > low)
+        n = (high - low)[found]
+        at = fm.locate(np.repeat(low[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+        which = np.repeat(mine[found], n)
+        doc = np.searchsorted(np.array(self.starts), at, side="right") - 1
+        place = at - np.array(self.starts)[doc]
+        many = p.start[which + 1] - p.start[which]
+        item = p.owner[np.repeat(p.start[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        doc, place = np.repeat(doc, many), np.repeat(place, many)
+        order = np.lexsort((place, item, doc))
+        spans: list[list[int]] = []
+        for d, q, a in zip(doc[order].tolist(), item[order].tolist(), place[order].tolist()):
+            if spans and spans[-1][:2] == [d, q] and a <= spans[-1][3] + 1:  # overlapping and touching passages are one span
+                spans[-1][3] = max(spans[-1][3], a + p.size - 1)
+            else:
+                spans.append([d, q, a, a + p.size - 1])
+        return spans
+
+
+_SCHEMA = "question_id string, first_word int, last_word int, char_from int, char_to int"
+
+
+def _scan(block, shard: int):
     def run(batches):
-        vocab, phrases, owners = _phrases(items, size)
-        seq: list[int] = [1]
-        spans: list[tuple[int, object, int]] = []  # start in the shard, key, word number of the start
-        kind = None
-
-        def index():
-            nonlocal seq, spans
-            hits: dict[tuple, list[int]] = {}
-            if spans and len(phrases):
-                fm = FMIndex(np.array(seq))
-                low, high = fm.search(phrases)
-                found = np.flatnonzero(high > low)
-                n = (high - low)[found]
-                which = np.repeat(found, n)
-                at = fm.locate(np.repeat(low[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
-                starts = np.array([s for s, _, _ in spans])
-                run_of = np.searchsorted(starts, at, side="right") - 1
-                for r, p, w in zip(run_of.tolist(), at.tolist(), which.tolist()):
-                    s, key, no = spans[r]
-                    for q in owners[w]:
-                        hits.setdefault((key, q), []).append(no + p - s)
-            rows = []
-            for (key, q), places in hits.items():
-                places.sort()
-                a = e = None
-                for p in places:  # overlapping and touching passages are one span
-                    if e is not None and p <= e + 1:
-                        e = max(e, p + size - 1)
-                    else:
-                        if e is not None:
-                            rows.append((key[1], items[q][0], a, e))
-                        a, e = p, p + size - 1
-                rows.append((key[1], items[q][0], a, e))
-            seq, spans = [1], []
-            return rows
-
-        def batch(rows):
-            c = list(zip(*rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c[0], kind), pa.array(c[1], pa.string()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())],
-                names=["_k", "question_id", "first_word", "last_word"],
+        p, held, kind = block.value, Shard(), None
+
+        def rows(s: Shard):
+            spans = s.search(p)
+            if not spans:
+                return
+            places = {d: [m.span() for m in _WORD.finditer(s.texts[d])] for d in {x[0] for x in spans}}
+            c = list(zip(*[(s.keys[d], p.ids[q], a, e, places[d][a][0], places[d][e][1]) for d, q, a, e in spans]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[0], kind), pa.array(c[1], pa.string()), *[pa.array(x, pa.int32()) for x in c[2:]]], names=["_k", *[x.split()[0] for x in _SCHEMA.split(", ")]]
             )
 
-        row = 0
-        get = vocab.get
         for b in batches:
             kind = b.schema.field(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                row += 1
-                s = [get(w, 0) for w in words(text)]
-                i, n = 0, len(s)
-                while i + size <= n:
-                    # a run of known words; 0 is a word of no test item
-                    try:
-                        j = s.index(0, i)
-                    except ValueError:
-                        j = n
-                    if j - i >= size:
-                        spans.append((len(seq), (row, key), i))
-                        seq += s[i:j]
-                        seq.append(1)
-                    i = j + 1
-                if len(seq) >= shard:
-                    if rows := index():
-                        yield batch(rows)
-        if spans and (rows := index()):
-            yield batch(rows)
+                held.add(key, text)
+                if len(held.words) >= shard:
+                    yield from rows(held)
+                    held = Shard()
+        if held.keys:
+            yield from rows(held)
 
     return run
 
 
 def leaked_passages(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "question_id", item_text: str = "query", size: int = PASSAGE
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "question_id", item_text: str = "query", size: int = PASSAGE, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
-    """(key, question_id, first_word, last_word): merged spans of each test item in each document, words from 0.
+    """(key, question_id, first_word, last_word, char_from, char_to): merged spans of each test item in each document, words and characters from 0.
 
-    Null texts and texts shorter than a passage hold none; test items shorter than a passage, or null, are never
-    found. The test suite is read to the driver in a stream and searched in blocks of ``BLOCK_WORDS`` words, so
-    what is sent out never exceeds a block, however large the suite; a document is scanned once per block.
+    Null texts and texts shorter than a passage hold none; test items shorter than a passage, or null, are never found.
+    The suite passes the driver as a stream; what is held and sent out is a block of ``block_words`` words at most, and a suite
+    that is larger scans the corpus once per block. Rows with equal or null keys each have their own rows.
     """
+    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
-    # the item ids are strings in the output
-    parts = []
+    src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") >= 2 * size - 1)
+    out = None
+    block: list[tuple[str, list[str]]] = []
+    held = 0
 
     def scan(block):
-        return src.mapInArrow(_scan(block, size, SHARD_WORDS), f"_k {kind}, {_SCHEMA}")
+        # the broadcast lies in a file, not in the memory of the driver
+        part = src.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, size)), shard_words), f"_k {kind}, {_SCHEMA}")
+        return part if out is None else out.unionByName(part)
 
-    block: list[tuple[str, list[str]]] = []
-    held = 0
+    # the item ids are strings in the output
     for r in items.select(F.col(item_key).cast("string").alias("i"), F.col(item_text).alias("q")).where("i is not null and q is not null").orderBy("i").toLocalIterator():
         ws = words(r.q)
         if len(ws) < size:
             continue
         block.append((r.i, ws))
         held += len(ws)
-        if held >= BLOCK_WORDS:
-            parts.append(scan(block))
-            block, held = [], 0
-    if block or not parts:
-        parts.append(scan(block))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        if held >= block_words:
+            out, block, held = scan(block), [], 0
+    if block or out is None:
+        out = scan(block)
     return out.withColumnRenamed("_k", key)
 
 
+def removal_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, char_from, char_to, questions): what to cut from each document, the spans of all test items merged."""
+    w = Window.partitionBy(key).orderBy("char_from", "char_to")
+    reach = F.max("char_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", F.coalesce((F.col("char_from") > reach).cast("int"), F.lit(1)))
+    grouped = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(key, "_g").agg(F.min("char_from").alias("char_from"), F.max("char_to").alias("char_to"), F.countDistinct("question_id").alias("questions")).drop("_g")
+
+
 def p7_spans(spark, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "questions"))
 
 
+def p7_removals(spark, folder: str) -> DataFrame:
+    return removal_spans(p7_spans(spark, folder))
+
+
 def p7_found(spark, folder: str) -> DataFrame:
     return p7_spans(spark, folder).select("doc_id", "question_id").distinct()
