@@ -34,7 +34,7 @@ from evigrain.sources.tables import norm_ref, table
 #: Similarity 0.8 = NUM / DEN: a distance of at most (a + b) * (DEN - NUM) / (DEN + NUM) bits.
 NUM, DEN = 4, 5
 #: A key is hot if more comparisons than HOT * HOT / 2 stand under it.
-HOT = 1024
+HOT = 64
 #: Comparisons that are held in memory at a time.
 AT_ONCE = 1 << 21
 #: Bits of the digest in a handle; sets of so few words have a hash there instead, as their digests would coincide.
