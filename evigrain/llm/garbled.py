@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,7 +26,6 @@ from evigrain.sources.tables import table
 
 #: Encodings that UTF-8 bytes are taken for. "+" fills a code page's undefined bytes with C1 controls, as browsers do.
 READ_AS = ["cp1252+", "latin-1", "iso8859-15", "cp1250+", "cp1251+", "cp1254+", "cp437", "cp850", "mac_roman", "cp866", "koi8-r", "cp1253+", "cp1257+", "iso8859-2", "cp852"]
-MAX_LAYERS = 5
 
 _ILLUSTRATION = re.compile(r"(?<!`)`(?!`)[^`\r\n]*(?<!`)`(?!`)")
 #: Odd characters with the letters beside them: all that the search for damage looks at.
@@ -82,7 +82,15 @@ def _kind(c: str) -> str:
         or 0x300 <= o <= 0x36F or 0x391 <= o <= 0x3C9 or o in (0xFEFF, 0xFE0F) or 0x1F000 <= o <= 0x1FAFF
     ):
         return "sign"
-    return "inner" if c in _page_characters() else "other"
+    if c in _page_characters():
+        return "inner"
+    # letters of any other script, and the marks they bear
+    return "script" if unicodedata.category(c)[0] in "LM" and o < 0xE000 else "other"
+
+
+def _block(c: str) -> str:
+    """The script of a letter, as the first word of its name says."""
+    return unicodedata.name(c, "").split(" ")[0]
 
 
 @lru_cache(maxsize=None)
@@ -101,6 +109,9 @@ def _evidence(seq: str, plain: str, name: str, before: str, after: str) -> float
     kinds = ["c1" if "\x80" <= c < "\xa0" else _kind(c) for c in plain]
     if all("А" <= c <= "я" or c in "ёЁ" for c in seq):
         return -1.0  # plain Russian letters stand for themselves
+    # letters of another script count in company only: one or two come out of correct text by chance
+    blocks = [_block(c) if k == "script" else "" for c, k in zip(plain, kinds)]
+    kinds = ["other" if k == "script" and (blocks.count(x) < 3 or len(set(kinds[max(0, i - 1) : i + 2]) & {"latin", "cyrillic", "latin2"})) else k for i, (k, x) in enumerate(zip(kinds, blocks))]
     gain = 0.0
     i = 0
     for c, k in zip(plain, kinds):
@@ -121,7 +132,7 @@ def _evidence(seq: str, plain: str, name: str, before: str, after: str) -> float
         elif k == "latin2":
             # a capital of another code page: only a nested layer makes it
             gain += 0.5 if not tail.isalpha() and tail not in "’”“‘»« ─│┐┘" else 0.3
-        elif k == "cyrillic":
+        elif k in ("cyrillic", "script"):
             gain += 0.55
         elif lead.isupper() and tail in " ”’“‘»«…–—•™.°ºª":
             # a capital and closing punctuation: natural at the end of an upper-case word or of a sentence
@@ -188,12 +199,31 @@ def _utf8_layer(s: str) -> tuple[str, list[str]] | None:
     if name is None or gains[name] < 1.0:
         return None
     out, at = [], 0
-    for a, e, plain in found[name]:
+    for a, e, plain in sorted(found[name] + _companions(s, name, found[name])):
         out += [s[at:a], plain]
         at = e
     return "".join([*out, s[at:]]), [name.rstrip("+") + "<utf-8"]
 
 
+def _companions(s: str, name: str, hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Further sequences, too short to be told alone, that are of a script the text was found to hold."""
+    seen = {_block(c) for _, _, plain in hits for c in plain if _kind(c) == "script"}
+    if not seen:
+        return []
+    taken, back, out = {a for a, _, _ in hits}, _tables(name)[0], []
+    for m in _RUN.finditer(s):
+        for q in _sequence(name).finditer(m[0]):
+            a = m.start() + q.start()
+            if a not in taken:
+                try:
+                    plain = bytes(back[c] for c in q[0]).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if all(_block(c) in seen for c in plain):
+                    out.append((a, m.start() + q.end(), plain))
+    return out
+
+
 @lru_cache(maxsize=100_000)
 def _is_utf8(run: str) -> bool:
     """The whole run is one reading of UTF-8."""
@@ -249,19 +279,29 @@ def _east_layer(s: str) -> tuple[str, list[str]] | None:
 #: Letters of Russian in order of frequency; the rank gives a rough likelihood.
 _RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфёъ"
 _RANK = {c: math.log(1.0 / (i + 3)) for i, c in enumerate(_RUSSIAN)}
+#: Letters of other Cyrillic alphabets: rarer than any of these.
+_RANK |= {c: math.log(1.0 / 30) for c in "іїєґў"}
+#: Letters of Greek in the same way.
+_GREEK = "αοιετσνηυρπκμλςωδγχθφβξζψάίόέήώύϊϋΐΰ"
+_GREEK_RANK = {c: math.log(1.0 / (i + 3)) for i, c in enumerate(_GREEK)}
 _PAGES = ["cp1251+", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5"]
+_GREEK_PAGES = ["cp1253+", "iso8859-7"]
 _CYR_READ = [*_PAGES, "latin-1", "cp1252+", "mac_roman", "cp437", "cp850"]
 _HIGH_WORD = re.compile("[^\x00-\x7f]+")
 
 
-def _russian(words: list[str]) -> float:
-    """Mean log likelihood of letters and of their case, per character."""
+#: A reading whose gain is so near to the best one's leaves it in doubt.
+CLOSE = 0.97
+
+
+def _likeness(words: list[str], ranks: dict[str, float]) -> float:
+    """Mean log likelihood of letters of an alphabet and of their case, per character."""
     total, n = 0.0, 0
     for w in words:
         for i, c in enumerate(w):
             low = c.lower()
             n += 1
-            total += _RANK.get(low, -7.0)
+            total += ranks.get(low, -7.0)
             if c != low and i and not (w[i - 1].isupper() and w[0].isupper()):
                 total -= 2.0
         if len(w) > 1 and w[0] != w[0].lower() and w[1:] == w[1:].upper() and any(c.isalpha() for c in w[1:]):
@@ -273,52 +313,65 @@ def _russian(words: list[str]) -> float:
 _CYR_GATE = re.compile("[а-яё][А-ЯЁ]|[À-ÿ]{4}|[А-яЁё][^\x00-\x7fА-яЁё\u0300-\u036f’“”«»…–—\xa0•№°]|[─-▟]{2}[^\x00-\x7f─-▟]|[Ѐ-џ][ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐґЄЇІіјЅѕї]")
 
 
+def _swap_words(s: str, read: str, real: str) -> tuple[list[tuple[int, int, str]], list[str], list[str]]:
+    """Words that read as Cyrillic or Greek of page ``real`` taken for ``read``: their places and readings, as they are, and as read."""
+    back, (_, to) = _tables(read)[0], _tables(real)
+    own, greek = read in _PAGES, real in _GREEK_PAGES
+    hits, was, now = [], [], []
+    for m in _HIGH_WORD.finditer(s):
+        w = m[0]
+        if not all(c in back and back[c] in to for c in w):
+            continue
+        # a word of Latin letters on either side is no Cyrillic word
+        l, r = s[m.start() - 1 : m.start()], s[m.end() : m.end() + 1]
+        if (l.isascii() and l.isalpha()) or (r.isascii() and r.isalpha()):
+            continue
+        plain = "".join(to[back[c]] for c in w)
+        letters = _GREEK_RANK if greek else _RANK
+        if not all(c.lower() in letters for c in plain):
+            continue
+        if _is_utf8(w):
+            continue
+        if own and w == w.lower() and plain == plain.upper() and all(c in _RANK for c in w):
+            continue  # a plain small word becomes no capitals
+        if _likeness([plain], letters) <= _likeness([w], _RANK) + (0.0 if own else -9.0):
+            continue
+        hits.append((m.start(), m.end(), plain))
+        was.append(w)
+        now.append(plain)
+    return hits, was, now
+
+
 def _cyrillic_layer(s: str) -> tuple[str, list[str]] | None:
     if not _CYR_GATE.search(s):
         return None
-    spans = [m for m in _HIGH_WORD.finditer(s) if len(m[0]) >= 1]
-    best = None
+    best, second = None, 0.0
     for read in _CYR_READ:
-        back, _ = _tables(read)
-        own = read in _PAGES
-        for real in _PAGES:
+        for real in _PAGES if read in _PAGES else [*_PAGES, *_GREEK_PAGES]:
             if real == read:
                 continue
-            _, to = _tables(real)
-            hits, was, now = [], [], []
-            for m in spans:
-                w = m[0]
-                if not all(c in back and back[c] in to for c in w):
-                    continue
-                # a word of Latin letters on either side is no Cyrillic word
-                l, r = s[m.start() - 1 : m.start()], s[m.end() : m.end() + 1]
-                if (l.isascii() and l.isalpha()) or (r.isascii() and r.isalpha()):
-                    continue
-                plain = "".join(to[back[c]] for c in w)
-                if not all("А" <= c <= "я" or c in "ёЁ" for c in plain):
-                    continue
-                if _is_utf8(w):
-                    continue
-                if own and w == w.lower() and plain == plain.upper() and all(c in _RANK for c in w):
-                    continue  # a plain small word becomes no capitals
-                if _russian([plain]) <= _russian([w]) + (0.0 if own else -9.0):
-                    continue
-                hits.append((m.start(), m.end(), plain))
-                was.append(w)
-                now.append(plain)
+            hits, was, now = _swap_words(s, read, real)
             n, longest = sum(map(len, was)), max(map(len, was), default=0)
-            if n < 6 or longest < 4 or (not own and n < 8):
+            if n < 6 or longest < 4 or (read not in _PAGES and n < 8):
                 continue
-            gain = (_russian(now) - _russian(was)) * n
-            if gain >= 0.9 * n and _russian(now) > -2.95 and (best is None or gain > best[0]):
-                best = (gain, f"{read.rstrip('+')}<{real.rstrip('+')}", hits)
+            like = _likeness(now, _GREEK_RANK if real in _GREEK_PAGES else _RANK)
+            gain = (like - _likeness(was, _RANK)) * n
+            if gain < 0.9 * n or like <= -2.95:
+                continue
+            name = f"{read.rstrip('+')}<{real.rstrip('+')}"
+            if best is None or gain > best[0]:
+                if best is not None and best[2] != hits:
+                    second = max(second, best[0])
+                best = (gain, name, hits)
+            elif hits != best[2]:
+                second = max(second, gain)
     if best is None:
         return None
     out, at = [], 0
     for a, e, plain in best[2]:
         out += [s[at:a], plain]
         at = e
-    return "".join([*out, s[at:]]), [best[1]]
+    return "".join([*out, s[at:]]), [best[1] + ("?" if second > CLOSE * best[0] else "")]
 
 
 # --- one Western code page read as another -----------------------------------------------------------------------
@@ -410,17 +463,34 @@ def _context_is_clean(c: str) -> bool:
 def _restore(s: str) -> tuple[str, list[str]]:
     """A passage without its layers, and what was undone, outermost first."""
     done: list[str] = []
-    for _ in range(MAX_LAYERS * 3):
+    seen = {s}
+    while True:
         step = _east_layer(s) or _cyrillic_layer(s) or _utf8_layer(s) or _west_layer(s)
-        if step is None or step[0] == s:
-            break
+        # every layer lowers the cost; should two ever undo each other, the first text that comes back ends it
+        if step is None or step[0] in seen:
+            return s, done
         s = step[0]
+        seen.add(s)
         done += step[1]
-    return s, done
+
+
+def _sound(s: str) -> bool:
+    """Nothing is lost and no word is left that correct text doesn't have: marks of damage, or scripts mixed in one word."""
+    if "\ufffd" in s or _C1.search(s):
+        return False
+    for m in _WORD.finditer(s):
+        w = m[0]
+        if not w.isascii() and (_anomalies(w) or len({"CYRILLIC", "GREEK", "LATIN"} & {_block(c) for c in w if c.isalpha() and c not in "ªºµ"}) > 1):
+            return False
+    return True
 
 
 def repair(text: str | None) -> tuple[bool, str | None, list[str], bool]:
-    """(is a case, text with all that can be restored, layers undone, nothing lost remains)."""
+    """(is a case, text with all that can be restored, layers undone, whether it is whole again).
+
+    Whole is said only of a text that shows no damage any more and whose readings were clearly better than any other;
+    a layer whose reading was close to another one's ends with a question mark.
+    """
     if not text or text.isascii():
         return False, text, [], True
     if all(map(_context_is_clean, set(_CONTEXT.findall(text)))):
@@ -436,7 +506,7 @@ def repair(text: str | None) -> tuple[bool, str | None, list[str], bool]:
     own = iter(whole.split(mark)) if whole.count(mark) == sum(o for _, o in parts) - 1 else None
     out = "".join(next(own) if o else p for p, o in parts) if own else text
     lost = "�" in whole or bool(_C1.search(whole))
-    return bool(layers) or lost, out, layers, not lost
+    return bool(layers) or lost, out, layers, _sound(whole) and not any(x.endswith("?") for x in layers)
 
 
 _SCHEMA = "layers array<string>, whole boolean, restored string"
