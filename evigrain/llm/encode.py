@@ -118,7 +118,7 @@ def _split_batches(chunk: int, overlap: int):
                     part = spans[o : o + 256]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([uid] * len(part), pa.int64()),
+                            pa.array([uid] * len(part), pa.string()),
                             pa.array(range(o, o + len(part)), pa.int32()),
                             pa.array([a for a, _ in part], pa.int64()),
                             pa.array([text[a:e] for a, e in part]),
@@ -139,12 +139,13 @@ def _bound_batches(batches):
 
 
 def _stitch_group(t: pa.Table) -> pa.Table:
-    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("chunk_no", "start", "body", "bounds"))))
-    pieces = stitch([(s, b, bb) for _, s, b, bb in rows])
+    # equal texts under equal keys have one name; their chunks are the same
+    rows = {n: x for n, *x in zip(*(t.column(c).to_pylist() for c in ("chunk_no", "start", "body", "bounds")))}
+    pieces = stitch([tuple(rows[n]) for n in sorted(rows)])
     uid = t.column("uid")[0].as_py()
     return pa.table(
         {
-            "uid": pa.array([uid] * len(pieces), pa.int64()),
+            "uid": pa.array([uid] * len(pieces), pa.string()),
             "piece_no": pa.array(range(len(pieces)), pa.int32()),
             "piece": pa.array(pieces, pa.string()),
         }
@@ -164,14 +165,15 @@ def encode_ids(
     kind = src.schema["_k"].dataType.simpleString()
     long = F.coalesce(F.length("_t"), F.lit(0)) > chunk
     short_ids = src.where(~long).mapInArrow(_encode_batches(path, ["_k"], "_t"), f"_k {kind}, ids array<int>")
-    tall = src.withColumn("uid", F.monotonically_increasing_id()).where(long)
-    chunks = tall.select("uid", "_t").mapInArrow(_split_batches(chunk, overlap), "uid bigint, chunk_no int, start bigint, body string")
-    scanned = chunks.repartition("uid", "chunk_no").mapInArrow(_bound_batches, "uid bigint, chunk_no int, start bigint, body string, bounds array<int>")
+    # the name of a row comes from what it holds, so that a retry gives it again
+    tall = src.where(long).withColumn("uid", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("_k").cast("string"), F.lit("\x00")), "_t"), 256))
+    chunks = tall.select("uid", "_t").mapInArrow(_split_batches(chunk, overlap), "uid string, chunk_no int, start bigint, body string")
+    scanned = chunks.repartition("uid", "chunk_no").mapInArrow(_bound_batches, "uid string, chunk_no int, start bigint, body string, bounds array<int>")
     # one text's chunks meet here: no more than the text itself, which one row already holds
-    pieces = scanned.groupBy("uid").applyInArrow(_stitch_group, "uid bigint, piece_no int, piece string")
+    pieces = scanned.groupBy("uid").applyInArrow(_stitch_group, "uid string, piece_no int, piece string")
     ids = (
         pieces.repartition("uid", "piece_no")
-        .mapInArrow(_encode_batches(path, ["uid", "piece_no"], "piece"), "uid bigint, piece_no int, ids array<int>")
+        .mapInArrow(_encode_batches(path, ["uid", "piece_no"], "piece"), "uid string, piece_no int, ids array<int>")
         .groupBy("uid")
         .agg(F.array_sort(F.collect_list(F.struct("piece_no", "ids"))).alias("p"))
         .select("uid", F.flatten(F.transform("p", lambda x: x.ids)).alias("ids"))
