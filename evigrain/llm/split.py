@@ -1,7 +1,7 @@
 """Splitting oversized texts at natural boundaries by content-defined chunking (problem 3).
 
 A rolling hash over the characters marks landmarks that depend only on the text around them. From the start of a
-piece the first landmark behind the minimum size is taken and snapped to the nearest natural boundary; without a
+piece the first landmark behind the minimum size is taken and snapped to the nearest boundary of the strongest kind; without a
 landmark the best boundary before the maximum size is taken. Since landmarks move with the text, an edit alters
 only the pieces near it. Each piece is preceded by an overlap with its predecessor that starts at a boundary too.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrain.sources.tables import current, table
+from evigrain.sources.tables import latest, table
 
 LIMIT, OVERLAP = 1500, 100
 #: Smallest own part of a piece (the last may be smaller), window of the rolling hash, and one landmark in so many.
@@ -147,24 +147,30 @@ def place(location: str | None, text: str, s: int, e: int) -> str:
 _SCHEMA = "gene_id string, piece_no int, n_pieces int, char_from bigint, char_to bigint, own_from bigint, piece_location string, piece string"
 
 
+#: Pieces that are handed on together.
+_BATCH = 1000
+
+
 def _split(limit: int, overlap: int):
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
     def run(batches):
+        rows: list[tuple] = []
         for b in batches:
             for gid, loc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                p = pieces(text, limit, overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([gid] * len(p), pa.string()),
-                        pa.array(range(1, len(p) + 1), pa.int32()),
-                        pa.array([len(p)] * len(p), pa.int32()),
-                        pa.array([s for s, _ in p], pa.int64()),
-                        pa.array([e for _, e in p], pa.int64()),
-                        pa.array([0] + [e for _, e in p[:-1]], pa.int64()),
-                        pa.array([place(loc, text, s, e) for s, e in p], pa.string()),
-                        pa.array([text[s:e] for s, e in p], pa.string()),
-                    ],
-                    names=[x.split()[0] for x in _SCHEMA.split(", ")],
-                )
+                p, own = pieces(text, limit, overlap), 0
+                for no, (s, e) in enumerate(p, 1):
+                    rows.append((gid, no, len(p), s, e, own, place(loc, text, s, e), text[s:e]))
+                    own = e
+                    if len(rows) >= _BATCH:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
 
     return run
 
@@ -173,10 +179,12 @@ def split_oversized(genes: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     """Numbered pieces of every text longer than ``limit`` characters, of the current delivery of each id.
 
     Null and short contents have no pieces; a null place gives an empty one. Deliveries of one record count once,
-    records without id are dropped. Only oversized rows leave the scan, so only they are shuffled.
+    records without id are dropped. Only oversized rows leave the scan, and of these only the contents of records that were
+    delivered more than once are shuffled. A landmark snaps to the nearest boundary of the strongest kind within reach, since the
+    nearest of any kind would nearly always be a space inside a sentence.
     """
     big = genes.select("id", "source_location", "content", "ingest_seq").where(F.length("content") > limit)
-    one = current(big, "id", "ingest_seq", "source_location", "content")
+    one = latest(big, "id", "ingest_seq", "source_location", "content")
     return one.select("id", "source_location", "content").mapInArrow(_split(limit, overlap), _SCHEMA)
 
 
