@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evigrain.operators import history, orphans
 from evigrain.plans import queries as Q
+from evigrain.plans.oracle import ref
 
 
 def flagship(spark, folder):
@@ -15,29 +16,26 @@ def queries():
 
 
 def oracle_sql():
-    return Q.ORACLE | {"p4_found": _P4_FOUND, "p5_found": _P5_FOUND}
+    return Q.ORACLE | {"p4_found": _P4_FOUND, "p4_totals": _P4_TOTALS, "p4_cascade": _P4_CASCADE, "p5_found": _P5_FOUND, "p5_history": _P5_HISTORY}
 
 
-_P4_FOUND = """
+_P4_REFS = f"""
 WITH g AS (
-  SELECT id, min(created_at) AS first, arg_max(created_at, ingest_seq) AS created_at, arg_max(active, ingest_seq) AS active,
-         arg_max(coalesce(lower(trim(source_id, E' \\t\\n\\r')), ''), ingest_seq) AS ref
-  FROM genes GROUP BY id
+  SELECT id, min(created_at) AS first, arg_max(created_at, ingest_seq) AS created_at, arg_max(active, ingest_seq) AS active, arg_max(coalesce({ref("source_id")}, ''), ingest_seq) AS ref FROM genes GROUP BY id
 ), s AS (SELECT id, min(created_at) AS since FROM sources GROUP BY id),
 r AS (
-  SELECT id, arg_max(created_at, ingest_seq) AS created_at, arg_max(coalesce(lower(trim(source_id, E' \\t\\n\\r')), ''), ingest_seq) AS source_id,
-         arg_max(coalesce(lower(trim(target_id, E' \\t\\n\\r')), ''), ingest_seq) AS target_id
-  FROM relations GROUP BY id
+  SELECT id, arg_max(created_at, ingest_seq) AS created_at, arg_max(coalesce({ref("source_id")}, ''), ingest_seq) AS source_id, arg_max(coalesce({ref("target_id")}, ''), ingest_seq) AS target_id FROM relations GROUP BY id
 ), e AS (
-  SELECT 'source_id' AS ref_field, id, created_at, source_id AS ref FROM r
-  UNION ALL SELECT 'target_id', id, created_at, target_id FROM r
-)
-SELECT 'relations' AS ref_table, ref_field, e.id AS record_id FROM e LEFT JOIN g ON g.id = e.ref
-WHERE e.ref <> '' AND (g.id IS NULL OR g.active = false OR g.first > e.created_at)
-UNION ALL
-SELECT 'genes', 'source_id', g.id FROM g LEFT JOIN s ON s.id = g.ref
-WHERE g.ref <> '' AND (s.id IS NULL OR s.since > g.created_at)
+  SELECT 'source_id' AS ref_field, id, created_at, source_id AS ref FROM r UNION ALL SELECT 'target_id', id, created_at, target_id FROM r
+), x AS (
+  SELECT 'relations' AS ref_table, ref_field, e.id AS record_id, e.created_at, e.ref, CASE WHEN g.id IS NULL THEN 'absent' WHEN NOT g.active THEN 'deleted' WHEN g.first > e.created_at THEN 'later' END AS reason FROM e LEFT JOIN g ON g.id = e.ref WHERE e.ref <> ''
+  UNION ALL SELECT 'genes', 'source_id', g.id, g.created_at, g.ref, CASE WHEN s.id IS NULL THEN 'absent' WHEN s.since > g.created_at THEN 'later' END FROM g LEFT JOIN s ON s.id = g.ref WHERE g.ref <> ''
+), y AS (SELECT x.*, reason IS NULL AND ref_table = 'relations' AND ref IN (SELECT record_id FROM x z WHERE z.ref_table = 'genes' AND z.reason IS NOT NULL) AS inherited FROM x)
 """
+_P4_FOUND = _P4_REFS + "SELECT ref_table, ref_field, record_id FROM x WHERE reason IS NOT NULL"
+_P4_TOTALS = _P4_REFS + """SELECT ref_table, ref_field, strftime(created_at, '%Y-%m') AS month, count(*) AS refs, count(reason) AS direct, count(*) FILTER (reason = 'absent') AS absent, count(*) FILTER (reason = 'deleted') AS deleted,
+  count(*) FILTER (reason = 'later') AS later, count(*) FILTER (inherited) AS inherited FROM y GROUP BY ALL"""
+_P4_CASCADE = _P4_REFS + "SELECT ref_table, record_id, CASE WHEN count(reason) > 0 THEN 0 ELSE 1 END AS level FROM y WHERE reason IS NOT NULL OR inherited GROUP BY ALL"
 
 _P5_FOUND = """
 WITH t AS (
@@ -67,3 +65,13 @@ SELECT locus_id, strftime(first, '%Y-%m-%d') AS version_from,
        coalesce(strftime(CASE WHEN until > last AND (after IS NULL OR until < after) THEN until ELSE after END, '%Y-%m-%d'), '9999-12-31') AS version_to
 FROM x
 """
+
+_P5_HISTORY = _P5_FOUND[: _P5_FOUND.index(", v AS (")] + """, v AS (
+  SELECT locus_id, version, min(start) AS first, max(start) AS last, max({'start': start, 'until': until}).until AS until, count(*) AS gene_count, arg_min(id, start) AS gene_id FROM i GROUP BY ALL
+), x AS (
+  SELECT *, lead(first) OVER (PARTITION BY locus_id ORDER BY version) AS after FROM v
+), c AS (SELECT id, arg_max(content, ingest_seq) AS content, nullif(arg_max(coalesce(lower(trim(kind)), ''), ingest_seq), '') AS kind FROM genes GROUP BY id)
+SELECT locus_id, CAST(version AS INT) AS version, strftime(first, '%Y-%m-%d') AS version_from, coalesce(strftime(CASE WHEN until > last AND (after IS NULL OR until < after) THEN until ELSE after END, '%Y-%m-%d'), '9999-12-31') AS version_to,
+  gene_id, gene_count, kind, content
+FROM x JOIN c ON c.id = x.gene_id
+"""

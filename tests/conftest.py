@@ -5,4 +5,6 @@ from evigrain.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4"})
+    s = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4"})
+    s.sparkContext.setLogLevel("ERROR")
+    return s
