@@ -19,7 +19,7 @@ def _decimal(c: Column) -> Column:
 
 def features(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """What scoring needs of each unit: its tokens as rendered and which forms of a vocabulary it has; no texts."""
-    hits = units.select("unit_id", F.explode(lexical_forms(unit_text())).alias("form")).join(vocabulary, "form", "left_semi").groupBy("unit_id").agg(F.collect_list("form").alias("forms"))
+    hits = units.select("unit_id", F.explode_outer(lexical_forms(unit_text())).alias("form")).join(vocabulary, "form", "left_semi").groupBy("unit_id").agg(F.collect_list("form").alias("forms"))
     u = units.select("unit_id", "subject_id", "label", "kind", "source_id", "source_location", "confidence", "state", token_estimate(render()).alias("tokens"))
     return u.join(hits, "unit_id", "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<string>")))
 
@@ -32,7 +32,7 @@ def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources:
     by confidence, lexical coverage, recency of the source, task and feedback, in this order. Units are read once, however
     many runs they are candidates of.
     """
-    vocabulary = runs.select(F.explode(F.array_union("query_terms", "negatives")).alias("form")).distinct()
+    vocabulary = runs.select(F.explode_outer(F.array_union("query_terms", "negatives")).alias("form")).distinct()
     mine = units.join(candidates.select("unit_id").distinct(), "unit_id", "left_semi")
     u = materialise(features(mine, vocabulary), "features")
     s = sources.select("source_id", F.col("active").alias("source_active"), F.col("content_hash").alias("source_hash"), F.col("version").alias("source_version"), F.lit(True).alias("source_known"))
@@ -95,8 +95,8 @@ def term_weights(expressed: DataFrame) -> DataFrame:
     """(run_id, term, weight) of each query term by how few of the expressed candidates match it."""
     c = expressed.where("excluded is null")
     n = c.groupBy("run_id").agg(F.count("*").alias("n"), F.first("query_terms").alias("q"))
-    df = c.select("run_id", F.explode("matched").alias("term")).groupBy("run_id", "term").agg(F.count("*").alias("df"))
-    asked = n.select("run_id", "n", F.explode("q").alias("term"))
+    df = c.select("run_id", F.explode_outer("matched").alias("term")).groupBy("run_id", "term").agg(F.count("*").alias("df"))
+    asked = n.select("run_id", "n", F.explode_outer("q").alias("term"))
     weight = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1.0
     return asked.join(df, ["run_id", "term"], "left").select("run_id", "term", r10(weight).alias("weight"))
 
