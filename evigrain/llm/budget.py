@@ -4,7 +4,8 @@ The estimate segments text as a unigram tokenizer does: pieces of a public vocab
 and a count-only Viterbi pass over each normalised segment (a word with the spaces before it) finds how many
 pieces the likeliest segmentation has; what no piece covers falls back to bytes. The public piece vocabulary holds
 ranks, not probabilities; Zipf's law turns a rank into a log probability. Segments repeat, so those of a batch are
-counted once, all together: the trie is walked for every segment at a time.
+counted once, all together: the trie is walked for every segment at a time. The trie is packed once, on the driver, and sent out; its
+size is that of the vocabulary, and checked.
 """
 
 from __future__ import annotations
@@ -59,47 +60,51 @@ class Trie:
 
     def _pack(self, children, value) -> None:
         a = len(self.code) + 1
-        size = 2 * len(children) + 2 * a
+        size = 2 * len(children) + 4 * a
         base, check, score = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -np.inf)
         at = {0: 0}
         check[0] = 0
-        free = np.ones(size, bool)
-        free[0] = False
-        start = 2  # few slots below are free; no child can stand at 1
+        used = bytearray(size)
+        used[0] = used[1] = 1  # no child can stand at 1
+        start = 2  # few slots below are free
         order = [0]
         for s in order:
             kids = children[s]
-            if kids:
-                cs = np.array(sorted(kids))
-                low, b = max(start, int(cs[0]) + 1), 0
-                while not b:
-                    if low + 1024 + a >= size:
-                        base, check = np.append(base, np.zeros(size, np.int32)), np.append(check, np.full(size, -1, np.int32))
-                        score, free = np.append(score, np.full(size, -np.inf)), np.append(free, np.ones(size, bool))
-                        size *= 2
-                    # bases that put the first child on a free slot, narrowed down child by child
-                    bs = low + np.flatnonzero(free[low : low + 1024]) - int(cs[0])
-                    for c in cs[1:]:
-                        bs = bs[free[bs + c]]
-                        if not len(bs):
-                            break
-                    if len(bs):
-                        b = int(bs[0])
-                    elif free[low : low + 1024].mean() < 0.05 and low == start:
-                        low = start = low + 1024
-                    else:
-                        low += 1024
-                base[at[s]] = b
-                for c in kids:
-                    t = b + c
-                    check[t], free[t] = at[s], False
-                    v = value[kids[c]]
-                    score[t] = -np.inf if math.isnan(v) else v
-                    at[kids[c]] = t
-                    order.append(kids[c])
+            if not kids:
+                continue
+            cs = sorted(kids)
+            t = used.find(0, max(start, cs[0] + 1))
+            if len(cs) > 1:  # most states have one child, which takes the first free slot
+                tries = 0
+                while any(used[t - cs[0] + c] for c in cs[1:]):
+                    t, tries = used.find(0, t + 1), tries + 1
+                    if t < 0 or t + 2 * a >= len(used):
+                        used.extend(bytes(size))
+                        t = max(t, len(used) - size - 2 * a) if t >= 0 else len(used) - size - a
+                if tries > 1000 and len(cs) > 20:
+                    start = max(start, t - 4096)
+            b = t - cs[0]
+            while b + a >= len(base):
+                base, check, score = np.append(base, np.zeros(size, np.int32)), np.append(check, np.full(size, -1, np.int32)), np.append(score, np.full(size, -np.inf))
+                used.extend(bytes(max(0, len(base) + a - len(used))))
+            base[at[s]] = b
+            for c in kids:
+                x = b + c
+                check[x], used[x] = at[s], 1
+                v = value[kids[c]]
+                score[x] = -np.inf if math.isnan(v) else v
+                at[kids[c]] = x
+                order.append(kids[c])
         self.base, self.check, self.score = base, check, score
         self._lists = None
 
+    @property
+    def nbytes(self) -> int:
+        return self.base.nbytes + self.check.nbytes + self.score.nbytes
+
+    def __getstate__(self):
+        return self.__dict__ | {"_lists": None}
+
     def lists(self):
         """The arrays as lists, for walks one state at a time."""
         if self._lists is None:
@@ -116,6 +121,9 @@ class Counter:
         self.byte = min(pieces.values(), default=0.0) - 10.0
         self.seen: dict[str, int] = {}
 
+    def __getstate__(self):
+        return self.__dict__ | {"seen": {}}
+
     def one(self, s: str) -> int:
         """Count-only Viterbi over one segment."""
         base, check, score = self.trie.lists()
@@ -220,9 +228,13 @@ def counter(path: str, shift: float = SHIFT) -> Counter:
     return Counter(pieces)
 
 
-def _count_batches(path: str, keys: int):
+#: Bytes of packed arrays that may be sent to the executors; a public vocabulary has a few million.
+MOST_BYTES = 256 << 20
+
+
+def _count_batches(shared, keys: int):
     def run(batches):
-        c = counter(path)
+        c = shared.value
         for b in batches:
             for o in range(0, b.num_rows, 2000):
                 s = b.slice(o, 2000)
@@ -238,7 +250,10 @@ def count_tokens(df: DataFrame, text: str, path: str | None = None) -> DataFrame
     keep = [c for c in df.columns if c != text]
     fields = [f for f in df.schema.fields if f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "tokens bigint"])
-    return df.select(*keep, text).mapInArrow(_count_batches(path or vocabulary(), len(keep)), schema)
+    c = counter(path or vocabulary())
+    if c.trie.nbytes > MOST_BYTES:
+        raise ValueError(f"a vocabulary of {c.trie.nbytes} bytes is too large to send to the executors")
+    return df.select(*keep, text).mapInArrow(_count_batches(df.sparkSession.sparkContext.broadcast(c), len(keep)), schema)
 
 
 def language(c: Column) -> Column:
