@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evigrain.functions import fixed
 from evigrain.functions.numbers import SHIFT
 from evigrain.functions.text import render, term_list
+from evigrain.operators import scoring
 from evigrain.session import materialise
 
 #: Candidates of a run that a round of packing in order looks at.
@@ -147,11 +148,14 @@ def contexts(scored: DataFrame, packed: DataFrame, units: DataFrame) -> DataFram
     )
 
 
-def selected_payload(scored: DataFrame, packed: DataFrame) -> DataFrame:
+def selected_payload(scored: DataFrame, packed: DataFrame, candidates: DataFrame, runs: DataFrame, units: DataFrame, sources: DataFrame) -> DataFrame:
     """Each selected unit with rank, score, tokens, facets, matched terms, citation and reasons."""
     how = F.when(F.col("use_packing"), F.concat(F.lit("coverage-splice=facets:"), "new_facets", F.lit(",core:"), "new_core", F.lit(",terms:"), "new_terms")).otherwise(F.lit("score-order"))
     cite = F.struct("source_id", "source_location", F.coalesce("source_hash", F.lit("")).alias("source_hash"), "source_version", "source_active", "confidence")
-    return packed.where("rank is not null").join(scored, ["run_id", "unit_id"]).select(
+    s = packed.where("rank is not null").join(scored, ["run_id", "unit_id"]).join(candidates.select("run_id", "unit_id", "channels"), ["run_id", "unit_id"]).join(runs.select("run_id", "task"), "run_id")
+    s = s.join(units.select("unit_id", "subject_id", "label", "source_id", "source_location", "confidence"), "unit_id")
+    s = s.join(sources.select("source_id", F.col("content_hash").alias("source_hash"), F.col("version").alias("source_version")), "source_id", "left")
+    return scoring.reasons(s).select(
         "run_id", "question_id", "rank", "unit_id", "subject_id", "label", "score", F.col("tokens").alias("estimated_tokens"), F.col("facets").alias("facet_ids"), F.col("core_facets").alias("core_facet_ids"),
         F.col("matched").alias("matched_terms"), cite.alias("citation"), F.concat("reasons", F.array(how)).alias("reasons"), "source_known",
     )

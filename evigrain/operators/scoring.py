@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,25 @@ from evigrain.functions.text import fold, lexical_forms, render, token_estimate,
 
 from evigrain.session import materialise
 
+#: What a text costs, as a column expression.
+Cost = Callable[[Column], Column]
+
 
 def _decimal(c: Column) -> Column:
     """A number with three places."""
     return c.cast("decimal(20,12)").cast("decimal(12,3)").cast("string")
 
 
-def features(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """What scoring needs of each unit: its tokens as rendered and which forms of a vocabulary it has; no texts."""
+def features(units: DataFrame, vocabulary: DataFrame, cost: Cost = token_estimate) -> DataFrame:
+    """What scoring needs of each unit: its tokens as rendered, by ``cost``, and which forms of a vocabulary it has; no texts."""
     hits = units.select("unit_id", F.explode_outer(lexical_forms(unit_text())).alias("form")).join(vocabulary, "form", "left_semi").groupBy("unit_id").agg(F.collect_list("form").alias("forms"))
-    u = units.select("unit_id", "subject_id", "label", "kind", "source_id", "source_location", "confidence", "state", token_estimate(render()).alias("tokens"))
+    u = units.select("unit_id", "subject_id", "label", "kind", "source_id", "source_location", "confidence", "state", cost(render()).alias("tokens"))
     return u.join(hits, "unit_id", "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<string>")))
 
 
-def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every candidate with its score and reasons, or with the reason why it is excluded.
+def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources: DataFrame, marks: DataFrame, cost: Cost = token_estimate) -> DataFrame:
+    """Every candidate with its score and what made it, or with the reason why it is excluded. Rows are narrow: texts and
+    citations are looked up for what is selected.
 
     ``runs`` has (run_id, question_id, budget, use_marks, use_suppressors, use_packing) and the plan of the question. The first
     that holds excludes: a suppressed term, a superseded version, an explicit suppression. The score is multiplied
@@ -34,8 +40,8 @@ def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources:
     """
     vocabulary = runs.select(F.explode_outer(F.array_union("query_terms", "negatives")).alias("form")).distinct()
     mine = units.join(candidates.select("unit_id").distinct(), "unit_id", "left_semi")
-    u = materialise(features(mine, vocabulary), "features")
-    s = sources.select("source_id", F.col("active").alias("source_active"), F.col("content_hash").alias("source_hash"), F.col("version").alias("source_version"), F.lit(True).alias("source_known"))
+    u = materialise(features(mine, vocabulary, cost), "features")
+    s = sources.select("source_id", F.col("active").alias("source_active"), F.lit(True).alias("source_known"))
     m = marks.select("unit_id", "boost", "suppressed")
     r = runs.select("run_id", "question_id", "task", "temporal_mode", "negatives", "query_terms", "facet_count", "core_forms", "budget", "use_marks", "use_suppressors", "use_packing")
     c = candidates.join(r, "run_id").join(u.join(s, "source_id", "left").join(m, "unit_id", "left"), "unit_id")
@@ -60,21 +66,27 @@ def regulate(candidates: DataFrame, runs: DataFrame, units: DataFrame, sources:
         * F.when(fits, F.lit(fixed.TASK_BOOST)).otherwise(F.lit(1.0))
         * (1.0 + F.coalesce(boost, F.lit(0.0)))
     )
+    core = F.filter("facets", lambda f: F.arrays_overlap(F.element_at("core_forms", f), F.col("matched")))
+    return c.select(
+        "run_id", "question_id", "unit_id", r10(score).alias("score"), "facets", core.alias("core_facets"), "matched", "barred", "protected", excluded.alias("excluded"), "tokens", "budget", "facet_count", "use_packing",
+        coverage.alias("coverage"), "state", F.coalesce(fits, F.lit(False)).alias("fits"), boost.alias("boost"), F.coalesce("source_active", F.lit(False)).alias("source_active"), F.col("source_known").isNotNull().alias("source_known"),
+    )
+
+
+def reasons(rows: DataFrame) -> DataFrame:
+    """Scored rows, with the channels and the task of their run, with ``reasons``: what made each score, in order."""
     some = lambda *x: F.filter(F.array(*x), lambda y: y.isNotNull())
-    reasons = F.concat(
+    low = F.col("use_packing") & (F.col("score") + fixed.EPSILON < F.col("floor"))
+    made = F.concat(
         F.transform("channels", lambda x: F.concat(F.lit("promoter="), x)),
         some(
-            F.concat(F.lit("lexical-coverage="), _decimal(coverage)), F.concat(F.lit("temporal="), "state"),
+            F.concat(F.lit("lexical-coverage="), _decimal(F.col("coverage"))), F.concat(F.lit("temporal="), "state"),
             F.when(F.col("source_known"), F.when(F.col("source_active"), "source=current").otherwise("source=historical")),
-            F.when(fits, F.concat(F.lit("task="), "task")), F.when(boost.isNotNull(), F.concat(F.lit("epigenetic="), F.when(boost >= 0, "+").otherwise(""), _decimal(boost))),
+            F.when(F.col("fits"), F.concat(F.lit("task="), "task")), F.when(F.col("boost").isNotNull(), F.concat(F.lit("epigenetic="), F.when(F.col("boost") >= 0, "+").otherwise(""), _decimal(F.col("boost")))),
+            F.when(low, F.when(F.size("core_facets") > 0, "core-facet-protected").otherwise("facet-protected")),
         ),
     )
-    core = F.filter("facets", lambda f: F.arrays_overlap(F.element_at("core_forms", f), F.col("matched")))
-    return c.select(
-        "run_id", "question_id", "unit_id", "subject_id", r10(score).alias("score"), "facets", core.alias("core_facets"), "matched", "barred", "protected", reasons.alias("reasons"),
-        excluded.alias("excluded"), "tokens", "label", "source_id", "source_location", "source_hash", "source_version",
-        F.coalesce("source_active", F.lit(False)).alias("source_active"), F.col("source_known").isNotNull().alias("source_known"), "confidence", "budget", "facet_count", "query_terms", "use_packing",
-    )
+    return rows.withColumn("reasons", made)
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -87,18 +99,17 @@ def threshold(scored: DataFrame) -> DataFrame:
     c = scored.join(kept, "run_id", "left")
     intent = F.col("protected") | (F.size("core_facets") > 0)
     low = F.col("excluded").isNull() & F.col("use_packing") & (F.col("score") + fixed.EPSILON < F.col("floor"))
-    why = F.when(low & intent, F.array(F.when(F.size("core_facets") > 0, "core-facet-protected").otherwise("facet-protected"))).otherwise(F.array().cast("array<string>"))
-    return c.withColumn("reasons", F.concat("reasons", why)).withColumn("excluded", F.when(low & ~intent, "expression threshold").otherwise(F.col("excluded"))).withColumn("floor", r10("floor"))
+    return c.withColumn("excluded", F.when(low & ~intent, "expression threshold").otherwise(F.col("excluded"))).withColumn("floor", r10("floor"))
 
 
-def term_weights(expressed: DataFrame) -> DataFrame:
+def term_weights(expressed: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, term, weight) of each query term by how few of the expressed candidates match it."""
     c = expressed.where("excluded is null")
-    n = c.groupBy("run_id").agg(F.count("*").alias("n"), F.first("query_terms").alias("q"))
+    n = c.groupBy("run_id").agg(F.count("*").alias("n")).join(runs.select("run_id", F.col("query_terms").alias("q")), "run_id")
     df = c.select("run_id", F.explode_outer("matched").alias("term")).groupBy("run_id", "term").agg(F.count("*").alias("df"))
     asked = n.select("run_id", "n", F.explode_outer("q").alias("term"))
     weight = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1.0
     return asked.join(df, ["run_id", "term"], "left").select("run_id", "term", r10(weight).alias("weight"))
 
 
-__all__ = ["regulate", "term_weights", "threshold"]
+__all__ = ["reasons", "regulate", "term_weights", "threshold"]

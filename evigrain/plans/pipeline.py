@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evigrain.functions import fixed
 from evigrain.functions.numbers import r10
 from evigrain.functions.questions import facet_rows, plan
-from evigrain.functions.text import forms_of
+from evigrain.functions.text import forms_of, token_estimate
 from evigrain.operators import channels, expansion, packing, scoring, temporal
 from evigrain.session import materialise
 from evigrain.sources.corpus import Corpus
@@ -39,13 +39,13 @@ class Retrieval:
     candidates: DataFrame
     scored: DataFrame
     packed: DataFrame
-    units: DataFrame
+    corpus: Corpus
 
     def contexts(self) -> DataFrame:
-        return packing.contexts(self.scored, self.packed, self.units)
+        return packing.contexts(self.scored, self.packed, self.corpus.units)
 
     def selected(self) -> DataFrame:
-        return packing.selected_payload(self.scored, self.packed)
+        return packing.selected_payload(self.scored, self.packed, self.candidates, self.runs, self.corpus.units, self.corpus.sources)
 
     def excluded(self) -> DataFrame:
         return packing.excluded_payload(self.scored, self.packed)
@@ -53,8 +53,8 @@ class Retrieval:
     def metrics(self) -> DataFrame:
         """(run_id, question_id, ...): tokens, use of the budget, counts and facets covered of each run."""
         c = self.scored.groupBy("run_id").agg(F.count("*").alias("candidate_count"), F.count(F.when(F.col("excluded").isNull(), 1)).alias("expressed_count"))
-        s = self.selected().groupBy("run_id").agg(
-            F.sum("estimated_tokens").alias("context_tokens"), F.count("*").alias("selected_count"), F.size(F.array_distinct(F.flatten(F.collect_set("facet_ids")))).alias("covered_facets")
+        s = self.packed.where("rank is not null").join(self.scored.select("run_id", "unit_id", "tokens", "facets"), ["run_id", "unit_id"]).groupBy("run_id").agg(
+            F.sum("tokens").alias("context_tokens"), F.count("*").alias("selected_count"), F.size(F.array_distinct(F.flatten(F.collect_set("facets")))).alias("covered_facets")
         )
         zero = lambda x: F.coalesce(x, F.lit(0)).cast("bigint").alias(x)
         m = self.runs.select("run_id", "question_id", "budget", "facet_count").join(c, "run_id", "left").join(s, "run_id", "left")
@@ -94,16 +94,17 @@ def spread(fused: DataFrame, runs: DataFrame, corpus: Corpus, hops: int = fixed.
     return temporal.resolve(out.join(runs.select("run_id", "temporal_mode"), "run_id"), corpus.units)
 
 
-def retrieve(questions: DataFrame, corpus: Corpus, methods: dict[str, tuple[bool, bool, bool, bool]] | None = None, k: int = fixed.TOP_K, hops: int = fixed.MAX_HOPS) -> Retrieval:
+def retrieve(questions: DataFrame, corpus: Corpus, methods: dict[str, tuple[bool, bool, bool, bool]] | None = None, k: int = fixed.TOP_K, hops: int = fixed.MAX_HOPS, cost: scoring.Cost = token_estimate) -> Retrieval:
     """Answer all ``questions`` (question_id, query, budget): candidates, scores, selection and reasons.
 
     Question ids are unique and not null. Null and empty queries find the first units, as any label contains
-    nothing; a null budget is the default one. Empty tables give empty results.
+    nothing; a null budget is the default one. Empty tables give empty results. ``cost`` counts the tokens of a rendered unit;
+    the tokens of a context are taken for their sum.
     """
     p = materialise(planned(questions.select("question_id", "query", "budget")), "plan")
     runs = expand_methods(p, methods or {"main": METHODS["main"]})
     fused = recall(p, corpus.units, k)
     candidates = materialise(spread(fused, runs, corpus, hops), "candidates")
-    scored = materialise(scoring.threshold(materialise(scoring.regulate(candidates, runs, corpus.units, corpus.sources, corpus.marks), "regulated")), "scored")
+    scored = materialise(scoring.threshold(materialise(scoring.regulate(candidates, runs, corpus.units, corpus.sources, corpus.marks, cost), "regulated")), "scored")
     packed = materialise(packing.pack(scored, corpus.units), "packed")
-    return Retrieval(runs, fused, candidates, scored, packed, corpus.units)
+    return Retrieval(runs, fused, candidates, scored, packed, corpus)

@@ -435,7 +435,7 @@ def confidence_coverage(spark, folder):
 def task_boost(spark, folder):
     """Whether the kind of each remaining candidate suits the task of the question."""
     r = _regulated(spark, folder)[1].where("excluded is null")
-    return r.select("question_id", "unit_id", F.exists("reasons", lambda x: F.startswith(x, F.lit("task="))).alias("boosted"))
+    return r.select("question_id", "unit_id", F.col("fits").alias("boosted"))
 
 
 @query(O.sql("SELECT unit_id, boost, 1 + boost AS factor FROM mk"))
@@ -468,7 +468,9 @@ def threshold(spark, folder):
 
 @query(O.sql("SELECT question_id, term, weight FROM tw"))
 def term_weights(spark, folder):
-    return scoring.term_weights(_scored(spark, folder)[1]).select(F.col("run_id").alias("question_id"), "term", "weight")
+    c, runs, out = _candidates(spark, folder)
+    scored = materialise(scoring.threshold(materialise(scoring.regulate(out, runs, c.units, c.sources, c.marks), "regulated")), "scored")
+    return scoring.term_weights(scored, runs).select(F.col("run_id").alias("question_id"), "term", "weight")
 
 
 _ORDERED = {"ordered": "SELECT question_id, unit_id, tokens, budget, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, tokens, unit_id) AS at FROM scored WHERE excluded IS NULL AND tokens <= budget"}
@@ -586,12 +588,6 @@ def feedback_events(spark, folder):
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
-def _valid(selected: DataFrame) -> DataFrame:
-    """Whether the citation of a selected unit still has a source and a place."""
-    ok = F.col("source_known") & (F.col("citation.source_location") != "")
-    return selected.select("run_id", "unit_id", ok.alias("valid"))
-
-
 def _rows(spark, folder, methods):
     """Metrics of the given pipeline methods and of the two baselines without a pipeline, for each question."""
     c, q = corpus(spark, folder), _questions(spark, folder)

@@ -74,3 +74,19 @@ def test_bootstrap_and_suite(spark):
     q = spark.createDataFrame([("a", "x", ["u"]), ("b", "x", ["gone"]), ("c", "", ["u"]), ("d", "y", [])], "question_id string, query string, expected_gene_ids array<string>")
     u = spark.createDataFrame([("u", True)], "unit_id string, active boolean")
     assert sorted((r.error, r.question_id) for r in evaluate.suite_errors(q, u).collect()) == [("empty id or query", "c"), ("nothing expected", "d"), ("repeated query", "a"), ("unknown unit", "b")]
+    declared = {"expected_questions": 5, "category_counts": {"x": 3}, "stability": {"question_ids": ["a", "zz"], "repetitions": 1}, "locked_gates": {"token_savings": 0.5}}
+    more = [r.error for r in evaluate.suite_errors(q.withColumn("category", F.lit("x")), u, declared).collect()]
+    assert {"number of questions", "category count", "gates", "unknown stability question", "too few repetitions"} <= set(more)
+
+
+def test_costs_by_a_tokenizer(spark, tmp_path):
+    import base64
+
+    from evigrain.functions.costs import tokenizer
+    from evigrain.functions.text import token_estimate
+
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b"abab"]
+    (tmp_path / "v.tiktoken").write_text("\n".join(f"{base64.b64encode(b).decode()} {i}" for i, b in enumerate(ranks)))
+    df = spark.createDataFrame([("abab ab",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(tokenizer(str(tmp_path / "v.tiktoken"))(F.col("t"))).collect()] == [3, 0, 0]
+    assert tokenizer(str(tmp_path / "none")) is token_estimate
