@@ -12,7 +12,8 @@ partners may be, a record stands with its plain chunks only.
 An index row is two numbers: the key of a chunk, and a handle of the record, which holds its size and a 54-bit digest
 of its signature whose distance never exceeds that of the signatures. A key under which too many would be compared is hot
 and compares nothing; what meets there meets in another chunk as well, so the hot keys of a record are combined in twos
-and these are indexed, exactly. Candidates are then compared by sketches that grow with the sets, and only what these
+and these are indexed, exactly. Where even a combination holds too many for one task, its rows are cut into blocks, and
+every two blocks are a task's. Candidates are then compared by sketches that grow with the sets, and only what these
 leave by its words. Equal word sets form one class and are compared once.
 """
 
@@ -35,6 +36,8 @@ from evigrain.sources.tables import norm_ref, table
 NUM, DEN = 4, 5
 #: A key is hot if more comparisons than HOT * HOT / 2 stand under it.
 HOT = 64
+#: Rows of a block of a combination that is too large for one task.
+BLOCK = 4096
 #: Comparisons that are held in memory at a time.
 AT_ONCE = 1 << 21
 #: Bits of the digest in a handle; sets of so few words have a hash there instead, as their digests would coincide.
@@ -229,8 +232,8 @@ def _met(key: np.ndarray, d: np.ndarray, cost: np.ndarray, end: np.ndarray):
 _OUT = "a bigint, b bigint, key bigint, d bigint"
 
 
-def _buckets(last: bool):
-    """Pairs that meet under equal keys of sorted input; rows of hot keys go on, with no partner."""
+def _buckets(limit: int | None):
+    """Pairs that meet under equal keys of sorted input; rows of keys with more comparisons than ``limit`` go on, with no partner."""
 
     def pairs(p):
         z = pa.nulls(len(p), pa.int64())
@@ -250,8 +253,8 @@ def _buckets(last: bool):
         end = np.repeat(begin + size, size)
         cost = np.where(key & 1, 0, end - 1 - np.arange(len(key)))
         total = np.add.reduceat(cost, begin)
-        big = np.repeat(total > HOT * HOT // 2, size)
-        if not last and big.any():
+        big = np.repeat(total > (np.inf if limit is None else limit), size)
+        if big.any():
             yield hot(key[big], d[big])
             cost = np.where(big, 0, cost)
         for p in _met(key, d, cost, end):
@@ -282,7 +285,7 @@ def _buckets(last: bool):
             held.append((key, d))
             cleared = int((key & 1).sum())
             plain, others = plain + len(key) - cleared, others + cleared
-            if not last and plain * (plain - 1) // 2 + plain * others > 2 * HOT * HOT:
+            if limit is not None and plain * (plain - 1) // 2 + plain * others > 4 * limit:
                 for k, x in held:
                     yield hot(k, x)
                 streamed, held, plain, others = int(key[-1] >> 1), [], 0, 0
@@ -345,14 +348,24 @@ def candidates(s: DataFrame) -> DataFrame:
     spark = s.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = F.expr("shiftright(key, 1)")
-    keys = s.select("d", "n", "words").mapInArrow(_index, _KEYS)
-    level1 = materialise(keys.repartition(parts, run).sortWithinPartitions("key", "d").mapInArrow(_buckets(False), _OUT), "neardup-level1")
+
+    def meet(keys: DataFrame, limit: int | None) -> DataFrame:
+        return keys.repartition(parts, run).sortWithinPartitions("key", "d").mapInArrow(_buckets(limit), _OUT)
+
+    level1 = materialise(meet(s.select("d", "n", "words").mapInArrow(_index, _KEYS), HOT * HOT // 2), "neardup-level1")
     hot = level1.where("a is null").groupBy("d").agg(F.collect_set("key").alias("keys")).where("size(keys) > 1")
-    twos = hot.mapInArrow(_combine, _KEYS)
-    level2 = twos.repartition(parts, run).sortWithinPartitions("key", "d").mapInArrow(_buckets(True), _OUT)
-    found = level1.where("a is not null").select("a", "b").unionByName(level2.select("a", "b")).distinct()
+    level2 = materialise(meet(hot.mapInArrow(_combine, _KEYS), BLOCK * BLOCK // 2), "neardup-level2")
+    # every row of a crowded combination stands in the task of its block with each other block; its last bit stays
+    crowd = level2.where("a is null").select("key", "d", run.alias("run"))
+    blocks = crowd.groupBy("run").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block, other = F.pmod(F.xxhash64("d"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    each = crowd.join(blocks, "run").select("key", "d", "run", block.alias("block"), other)
+    task = F.xxhash64("run", F.least("block", "other"), F.greatest("block", "other"))
+    level3 = meet(each.select(task.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("key"), "d"), None)
+    met = lambda df: df.where("a is not null").select("a", "b")
+    found = met(level1).unionByName(met(level2)).unionByName(met(level3)).distinct()
     out = materialise(found.withColumnsRenamed({"a": "da", "b": "db"}), "neardup-candidates")
-    release(level1)
+    release(level1, level2)
     return out
 
 

@@ -33,9 +33,10 @@ def copies(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [1, 4, 64])
-def test_no_pair_is_missed_however_few_keys_are_hot(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, block", [(1, 4096), (1, 3), (4, 2), (64, 4096)])
+def test_no_pair_is_missed_however_few_keys_are_hot(spark, monkeypatch, hot, block):
     monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = copies(500, hot)
     want = brute(rows)
     got = [tuple(r) for r in similar_records(spark.createDataFrame(rows, SCHEMA)).collect()]
@@ -77,6 +78,6 @@ def test_a_batch_may_end_anywhere():
 
     def result(step):
         parts = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(d[i : i + step])], names=["key", "d"]) for i in range(0, 400, step)]
-        return {tuple(r.values()) for b in neardup._buckets(True)(parts) for r in b.to_pylist()}
+        return {tuple(r.values()) for b in neardup._buckets(None)(parts) for r in b.to_pylist()}
 
     assert result(400) == result(7) == result(1)
