@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions.times import iso_instant
-from evigrain.sources.tables import BLANKS, current, norm_ref, norm_word, table
+from evigrain.sources.tables import BLANKS, current, latest, norm_ref, norm_word, table
 
 OPEN_END = "9999-12-31"
 
@@ -54,5 +54,5 @@ def p5_history(spark, folder: str) -> DataFrame:
     """The whole history: each version of a subject with its period, content and kind as its first record has them."""
     genes = table(spark, folder, "genes")
     v = _period(versions(genes, table(spark, folder, "sources")))
-    text = current(genes, "id", "ingest_seq", "ingest_seq", "content", "kind").select(F.col("id").alias("gene_id"), "content", norm_word("kind").alias("kind"))
+    text = latest(genes, "id", "ingest_seq", "content", "kind").select(F.col("id").alias("gene_id"), "content", norm_word("kind").alias("kind"))
     return v.join(text, "gene_id").select("locus_id", "version", "version_from", "version_to", "gene_id", "gene_count", "kind", "content")
