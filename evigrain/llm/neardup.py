@@ -38,6 +38,8 @@ NUM, DEN = 4, 5
 HOT = 64
 #: Rows of a block of a combination that is too large for one task.
 BLOCK = 4096
+#: Index rows that a task sorts, some 200 MB.
+TASK_ROWS = 8_000_000
 #: Comparisons that are held in memory at a time.
 AT_ONCE = 1 << 21
 #: Bits of the digest in a handle; sets of so few words have a hash there instead, as their digests would coincide.
@@ -346,7 +348,9 @@ def signed(genes: DataFrame, key: str = "id", subject: str = "locus_id", text: s
 def candidates(s: DataFrame) -> DataFrame:
     """(da, db): handles of sets that may be within the bound; a superset that holds every pair within it."""
     spark = s.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # an index has a row for each word and half as many more; a task sorts no more than TASK_ROWS
+    rows = (s.agg(F.sum("n")).first()[0] or 0) * 3 // 2
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     run = F.expr("shiftright(key, 1)")
 
     def meet(keys: DataFrame, limit: int | None) -> DataFrame:
