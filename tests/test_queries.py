@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: Queries that run the whole pipeline once more to look at one stage; those that stand for the others are below.
 PIPELINE = {
     "current_version", "superseded", "confidence_coverage", "task_boost", "core_match", "term_weights", "pack_coverage", "metrics_prf", "mrr", "ndcg", "summary_grouping_sets", "paired_deltas", "feedback_events", "expand_h1",
-    "facet_inherit", "frontier_join", "protected_top2", "rrf",
+    "facet_inherit", "frontier_join", "protected_top2", "rrf", "stability", "bootstrap", "suppressor_terms", "expand_h2",
 }
 
 
