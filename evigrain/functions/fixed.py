@@ -29,7 +29,7 @@ STATUS_CURRENT = "current active".split()
 
 SENSITIVE_NAMES = ".env credentials credentials.json secrets.json id_rsa id_ed25519".split()
 SENSITIVE_STEMS = "credentials credential secrets secret tokens".split()
-SENSITIVE_PARTS = ".git .venv node_modules".split()
+SENSITIVE_PARTS = ".git .evigrain .venv node_modules".split()
 DOCUMENT_SUFFIXES = ".md .markdown .txt .rst".split()
 
 CHANNELS = ("exact", "fts", "morphology")
@@ -42,6 +42,8 @@ BOOST_SCALE, BOOST_LIMIT = 0.20, 0.10
 DEFAULT_BUDGET, EVALUATION_BUDGET = 1200, 600
 
 GENESIS = "GENESIS"
+#: Prefixes of the ids of units and subjects that come from the nodes of a graph export.
+NODE_ID, NODE_SUBJECT = "gene:graphify:", "locus:graphify:"
 UNIT_FORMAT = "[GENE %s] %s\n%s\n[CITATION %s | %s | confidence=%.2f]"
 
 GATES = {"token_savings": 0.25, "quality_margin": -0.02, "citation_accuracy": 0.95, "category_quality_margin": -0.10, "deterministic_stability": 1.0}

@@ -224,7 +224,7 @@ def hyperedge_chain(spark, folder):
 
 
 @query(f"""
-SELECT DISTINCT path, list_has_any(string_split(lower(path), '/'), ['.git', '.venv', 'node_modules']) OR string_split(lower(path), '/')[-1] IN {O._in(O.fixed.SENSITIVE_NAMES)}
+SELECT DISTINCT path, list_has_any(string_split(lower(path), '/'), ['.git', '.evigrain', '.venv', 'node_modules']) OR string_split(lower(path), '/')[-1] IN {O._in(O.fixed.SENSITIVE_NAMES)}
     OR regexp_replace(string_split(lower(path), '/')[-1], '(.)\\.[^.]*$', '\\1') IN {O._in(O.fixed.SENSITIVE_STEMS)} AS sensitive,
   NOT sensitive AND regexp_extract(string_split(lower(path), '/')[-1], '.(\\.[^.]*)$', 1) IN {O._in(O.fixed.DOCUMENT_SUFFIXES)} AS readable FROM sources WHERE path IS NOT NULL""")
 def sensitive_filter(spark, folder):
@@ -289,7 +289,7 @@ def graph_json_scan(spark, folder):
     at = f"{shared_folder(spark)}/graph-{abs(hash(folder))}"
     g.write.mode("overwrite").text(at)
     _, edges = ingest.read_graph(spark, at, lines=True)
-    name = ids.select("id", F.concat(F.lit("gene:graphify:"), F.substring(T.digest("id"), 1, 20)).alias("h"))
+    name = ids.select("id", F.concat(F.lit(O.fixed.NODE_ID), F.substring(T.digest("id"), 1, 20)).alias("h"))
     e = edges.join(name.select(F.col("h").alias("source_id"), F.col("id").alias("s")), "source_id").join(name.select(F.col("h").alias("target_id"), F.col("id").alias("t")), "target_id")
     return e.select(F.col("s").alias("source_id"), F.col("t").alias("target_id"), "relation")
 

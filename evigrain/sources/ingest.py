@@ -199,7 +199,7 @@ def read_graph(spark: SparkSession, path: str, lines: bool = False) -> tuple[Dat
     label = F.coalesce("label", "name", "key")
     content = F.coalesce("content", "description", label)
     units = n.select(
-        F.concat(F.lit("gene:graphify:"), hashed("key", 20)).alias("unit_id"), "key", F.concat(F.lit("locus:graphify:"), hashed(F.coalesce("locus", "key"), 16)).alias("subject_id"), label.alias("label"), content.alias("content"),
+        F.concat(F.lit(fixed.NODE_ID), hashed("key", 20)).alias("unit_id"), "key", F.concat(F.lit(fixed.NODE_SUBJECT), hashed(F.coalesce("locus", "key"), 16)).alias("subject_id"), label.alias("label"), content.alias("content"),
         F.coalesce("summary", F.substring(content, 1, 240)).alias("summary"), F.coalesce("type", "kind", F.lit("graph_node")).alias("kind"), F.coalesce("source_location", "source_file").alias("source_location"),
         F.coalesce("community", "community_id", F.lit("")).alias("community"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
     )
