@@ -5,8 +5,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from evigrain.operators import expansion
+from evigrain.operators import evaluate, expansion
 from evigrain.plans import pipeline
+from evigrain.plans import queries as Q
 from evigrain.session import together
 from evigrain.sources.corpus import held
 from tests.test_packing import ASKED, ROWS, tables
@@ -57,3 +58,18 @@ def test_relation_names_as_bits_or_arrays(spark, monkeypatch):
 def test_tasks_run_at_the_same_time(spark):
     meet = threading.Barrier(3, timeout=20)
     assert together(spark, *[lambda i=i: (meet.wait(), i)[1] for i in range(3)]) == [0, 1, 2]
+
+
+def test_report_measures_all_methods_at_once(spark, monkeypatch):
+    calls, real = [], evaluate.selected_metrics
+    monkeypatch.setattr(evaluate, "selected_metrics", lambda *a: calls.append(1) or real(*a))
+    r = Q.QUERIES["evaluation_report"](spark, "/root/testdata/sf0.001").first()
+    assert len(calls) == 1  # one pass over units, not one for each of seven selections
+    assert r.comparator in ("full_context", "local_rag", "graph_baseline") and r.citation_accuracy is not None
+
+
+def test_stability_retrieves_at_the_same_time(spark, monkeypatch):
+    meet, real = threading.Barrier(3, timeout=60), pipeline.retrieve
+    monkeypatch.setattr(pipeline, "retrieve", lambda *a: (meet.wait(), real(*a))[1])
+    rows = Q.QUERIES["stability"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 120 and all((r.unique_signatures, r.repetitions, r.stable) == (1, 3, True) for r in rows)
