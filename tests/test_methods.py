@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from evigrain.operators import evaluate, expansion
+from evigrain.operators import channels, evaluate, expansion, packing
 from evigrain.plans import pipeline
 from evigrain.plans import queries as Q
 from evigrain.session import together
@@ -73,3 +73,42 @@ def test_stability_retrieves_at_the_same_time(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "retrieve", lambda *a: (meet.wait(), real(*a))[1])
     rows = Q.QUERIES["stability"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 120 and all((r.unique_signatures, r.repetitions, r.stable) == (1, 3, True) for r in rows)
+
+
+def test_selection_without_explanation_is_that_of_the_retrieval(spark, monkeypatch):
+    c, asked = held(tables(spark, ROWS)), spark.createDataFrame(ASKED, "question_id string, query string, budget int")
+    # every edge of a unit in a part of its own, and few rows, facets and pairs at a time
+    monkeypatch.setattr(expansion.parted, "__defaults__", (1,))
+    monkeypatch.setattr(channels, "FACETS", 2)
+    monkeypatch.setattr(channels, "PAIRS", 3)
+    r = pipeline.retrieve(asked, c, pipeline.METHODS)
+    s = r.selected().join(r.runs.select("run_id", "method"), "run_id")
+    want = {(x.question_id, x.method, x.unit_id, x["rank"], x.source_known and x.citation.source_location != "") for x in s.collect()}
+    assert want and {(x.question_id, x.method, x.unit_id, x["rank"], x.valid) for x in pipeline.select(asked, c, pipeline.METHODS).collect()} == want
+
+
+def test_report_hands_few_rows_to_the_methods(spark, monkeypatch):
+    seen = {}
+
+    def noted(real):
+        def write(df, name):
+            out = real(df, name)
+            seen[name] = max(seen.get(name, 0), out.count())
+            return out
+
+        return write
+
+    for m in (pipeline, packing):
+        monkeypatch.setattr(m, "materialise", noted(m.materialise))
+    Q.QUERIES["evaluation_report"](spark, "/root/testdata/sf0.001")
+    # packing in the order of the score had all candidates of its methods, and so had the local baseline its pairs
+    assert 0 < seen["pack-rest"] < seen["assessed"] / 5
+
+
+def test_forms_at_hand_are_compared_in_place(spark, monkeypatch):
+    monkeypatch.setattr(channels, "PAIRS", 50)
+    monkeypatch.setattr(channels, "FACETS", 3)
+    c = tables(spark, [(f"u{i:02}", "l", f"cache {'abc'[i % 3]}{i % 7}", "the cache evicts entries " * (i % 2), None, 1.0, None, None, i % 5 > 0, i) for i in range(40)])
+    facets = spark.createDataFrame([("q", n, t.split()) for n, t in enumerate(["cache evict", "a1 b2 cache", "zz", "", "entry entries b1"])], "question_id string, facet_id int, forms array<string>")
+    rows = lambda units: sorted(map(str, channels.overlap(facets, units, 5).collect()))
+    assert rows(c.units) == rows(held(c).units) != []

@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigrain.operators.packing import pack_by_coverage, pack_in_order
+from evigrain.operators.packing import pack_by_coverage, pack_in_order, takable
 from evigrain.plans import pipeline
 from evigrain.sources import corpus as C
 from evigrain.operators.audit import marks
@@ -131,3 +132,17 @@ def test_empty_tables(spark):
 def test_a_budget_below_one_is_an_error(spark):
     with pytest.raises(Exception, match="budget must be positive"):
         pipeline.planned(spark.createDataFrame([("q", "x", 0)], "question_id string, query string, budget int")).collect()
+
+
+def test_what_may_be_taken_of_a_part_holds_what_is(spark):
+    rng = random.Random(4)
+    for _ in range(300):
+        budget, tokens = rng.randint(1, 120), [rng.randint(1, 60) for _ in range(80)]
+        used, picked = 0, set()
+        for i, t in enumerate(tokens):
+            if used + t <= budget:
+                used += t
+                picked.add(i)
+        part = sorted(rng.sample(range(80), 40))
+        kept = takable(np.array([tokens[i] for i in part]), budget)
+        assert {part[i] for i in kept} >= picked & set(part) and len(kept) < 40
